@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstone.llm._store import cut
+from wardstone.llm.byte_bpe import byte_bpe, read_ranks
 from wardstone.llm.line_dedup import line_dedup
 from wardstone.llm.quality_rules import quality_rules
 from wardstone.llm.simhash import simhash_dedup
@@ -38,7 +39,17 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _as(docs, found.where("not contaminated"))
 
 
-STAGES = [("quality rules", rules_stage), ("line dedup", line_stage), ("near copies", near_copy_stage), ("benchmark", benchmark_stage)]
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each text, and whether they decode to it."""
+    import public_tokenizers
+
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = byte_bpe(docs, ranks, public_tokenizers.PATTERN)
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "n_tokens", "round_trip")], "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES = [("quality rules", rules_stage), ("line dedup", line_stage), ("near copies", near_copy_stage), ("benchmark", benchmark_stage), ("tokens", token_stage)]
 
 #: Near copies and searching for word windows are not for SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
