@@ -9,6 +9,7 @@ from wardstone.llm.byte_bpe import byte_bpe, ids_bytes, read_ranks
 from wardstone.llm.line_dedup import line_dedup
 from wardstone.llm.quality_rules import quality_rules
 from wardstone.llm.simhash import near_duplicates
+from wardstone.llm.suffix_dedup import suffix_dedup
 from wardstone.llm.wu_manber import decontaminate
 
 
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -44,4 +50,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_failed")
 
 
-QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op7_simhash_near_dedup, op8_line_dedup, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op6_benchmark_decontamination, op7_simhash_near_dedup, op8_line_dedup, op9_byte_bpe, op10_quality_rules)}
