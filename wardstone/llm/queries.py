@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstone.llm.byte_bpe import byte_bpe, ids_bytes, read_ranks
+from wardstone.llm.katz import katz_scores
 from wardstone.llm.line_dedup import line_dedup
 from wardstone.llm.quality_rules import quality_rules
 from wardstone.llm.simhash import near_duplicates
@@ -22,6 +23,17 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _bucket(n: int):
+    """crc32 of the id as text, mod n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(_bucket(7) == 2, F.lit(False))
+    found = katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -50,4 +62,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op6_benchmark_decontamination, op7_simhash_near_dedup, op8_line_dedup, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op5_katz_backoff, op6_benchmark_decontamination, op7_simhash_near_dedup, op8_line_dedup, op9_byte_bpe, op10_quality_rules)}
