@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstone.llm.byte_bpe import byte_bpe, ids_bytes, read_ranks
+from wardstone.llm.factorization import quality_scores
 from wardstone.llm.katz import katz_scores
 from wardstone.llm.line_dedup import line_dedup
 from wardstone.llm.quality_rules import quality_rules
 from wardstone.llm.simhash import near_duplicates
 from wardstone.llm.suffix_dedup import suffix_dedup
+from wardstone.llm.toxicity import toxicity
 from wardstone.llm.wu_manber import decontaminate
 
 
@@ -28,6 +30,19 @@ def _bucket(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32 mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), _bucket(5) != 0)
+    return found.select("doc_id", F.coalesce(_bucket(5) == 0, F.lit(False)).alias("held_out"), "expected_severity", "severity", "score", "toxic")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), _bucket(5) != 0)
+    return found.select("doc_id", F.coalesce(_bucket(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(_bucket(7) == 2, F.lit(False))
     found = katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
@@ -62,4 +77,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op5_katz_backoff, op6_benchmark_decontamination, op7_simhash_near_dedup, op8_line_dedup, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_toxicity, op4_quality_classifier, op5_katz_backoff, op6_benchmark_decontamination, op7_simhash_near_dedup, op8_line_dedup, op9_byte_bpe, op10_quality_rules)}
