@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ def java_pattern(pattern: str) -> str:
 
 
 def _mix(c: Column, parts: int) -> Column:
-    return F.pmod(F.crc32(F.encode(c, "UTF-8")), F.lit(parts)).cast("int")
+    return F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
 
 
 def _dealt(entries: dict[str, object], kind: str) -> tuple[Column, int]:
@@ -54,7 +54,8 @@ def _dealt(entries: dict[str, object], kind: str) -> tuple[Column, int]:
         parts *= 2
     maps: list[dict[str, object]] = [{} for _ in range(parts)]
     for key, value in entries.items():
-        maps[zlib.crc32(key.encode()) % parts][key] = value
+        hashed = xxhash.xxh64_intdigest(key.encode(), 42)
+        maps[(hashed - (hashed >> 63 << 64)) % parts][key] = value
     return F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>"), parts
 
 
@@ -64,12 +65,12 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 class Codec:
-    """Encoder and decoder of one rank table."""
+    """Encoder of one rank table, and its tokens by id."""
 
     def __init__(self, ranks: dict[bytes, int]):
         assert sorted(ranks.values()) == list(range(len(ranks)))
         self.ranks, self.parts = _dealt({t.decode("latin-1"): r for t, r in ranks.items()}, "int")
-        self.tokens = F.from_json(F.lit(json.dumps([t.decode("latin-1") for t, _ in sorted(ranks.items(), key=lambda x: x[1])])), "array<string>")
+        self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
 
     def encode_all(self, words: Column) -> Column:
         """Ids of each of an array of words given as bytes in characters; empty: none."""
@@ -107,11 +108,6 @@ class Codec:
         whole = bound(rank(word), lambda r: F.when(r < NO_RANK, F.array(r)))
         return F.when(word == "", none).otherwise(F.coalesce(whole, bound(F.split(word, ""), fold)))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids: their pieces end to end."""
-        pieces = bound(self.tokens, lambda tokens: F.transform(ids, lambda i: F.get(tokens, i)))
-        return F.encode(F.array_join(pieces, ""), "ISO-8859-1")
-
 
 def as_bytes(text: Column) -> Column:
     """One character for each UTF-8 byte."""
@@ -119,15 +115,16 @@ def as_bytes(text: Column) -> Column:
 
 
 def byte_bpe(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """``df`` with ids (array of int) and decoded (binary: the ids' bytes, the text's own).
+    """``df`` with ids (array of int), packed (binary: ids as little-endian unsigned 32-bit integers) and
+    decoded (binary: the ids' pieces end to end, the text's own bytes).
 
     Each match of ``pattern`` is encoded by itself, without special tokens. Null and empty texts give
     no ids and no bytes. Rows are encoded one by one, so repeated rows give repeated rows; an empty
     table gives an empty one. A word longer than FREQUENT_BYTES is never among the words sent to the
     tasks but encoded in its row; the fold over a word of n bytes copies n pieces n times. Columns named
-    ids or decoded are replaced, others pass.
+    ids, packed or decoded are replaced, others pass.
     """
-    base = without(df, "ids", "decoded", "_words", "_ids", "_rare")
+    base = without(df, "ids", "packed", "decoded", "_words", "_ids", "_rare")
     keep = [F.col(f"`{c}`") for c in base.columns]
     codec = Codec(ranks)
     split = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
@@ -143,14 +140,14 @@ def byte_bpe(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     known = counts.where(F.col("n") >= least).select("word").repartition(32)
     known = known.select("word", F.get(codec.encode_all(F.array(as_bytes(F.col("word")))), 0).alias("ids")) if total else None
     packed = [tuple(r) for r in known.mapInArrow(_pack, "words binary, ends binary, ids binary, id_ends binary").collect()] if total else []
-    sent = df.sparkSession.sparkContext.broadcast(packed)
+    send = df.sparkSession.sparkContext.broadcast
+    sent, tokens = send({"parts": packed}), send(codec.tokens)
     step = base.select(*keep, split.alias("_words"))
     schema = base.select(*keep, F.array().cast("array<int>").alias("_ids"), F.array().cast("array<string>").alias("_rare")).schema
     step = step.mapInArrow(_look_up(sent, base.columns), schema)
-    # Bound, not selected: the optimizer may put a selected expression in place of its only mention, inside the lambda.
-    whole = bound(codec.encode_all(F.transform("_rare", as_bytes)), lambda own: F.flatten(F.transform("_ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(own, -1 - i)))))
-    step = step.select(*keep, F.when(F.size("_rare") == 0, F.col("_ids")).otherwise(whole).alias("ids"))
-    return step.select(*keep, "ids", codec.decode(F.col("ids")).alias("decoded"))
+    step = step.select(*keep, "_ids", codec.encode_all(F.transform("_rare", as_bytes)).alias("_rare"))
+    schema = base.select(*keep, F.array().cast("array<int>").alias("ids"), F.lit(b"").alias("packed"), F.lit(b"").alias("decoded")).schema
+    return step.mapInArrow(_spell(tokens, base.columns), schema)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +166,16 @@ def _look_up(sent, keep: list[str]):
 
     def unpacked() -> dict[bytes, bytes]:
         table: dict[bytes, bytes] = {}
-        for words, ends, ids, id_ends in sent.value:
+        for words, ends, ids, id_ends in sent.value["parts"]:
             a = np.concatenate([[0], np.frombuffer(ends, np.int32)]).tolist()
             b = (4 * np.concatenate([[0], np.frombuffer(id_ends, np.int32)])).tolist()
             table.update(zip((words[i:j] for i, j in zip(a, a[1:], strict=False)), (ids[i:j] for i, j in zip(b, b[1:], strict=False)), strict=True))
         return table
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = unpacked()
+        if "table" not in sent.value:  # workers, and what was sent to them, outlive tasks
+            sent.value["table"] = unpacked()
+        table = sent.value["table"]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -200,7 +199,31 @@ def _look_up(sent, keep: list[str]):
     return look_up
 
 
-def ids_bytes(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
-    byte = lambda i, k: F.chr(F.shiftright(i, 8 * k).bitwiseAND(F.lit(255)))
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.concat(*[F.when(F.shiftright(i, 8 * k).bitwiseAND(F.lit(255)) == 0, F.lit("\x00")).otherwise(byte(i, k)) for k in range(4)])), ""), "ISO-8859-1")
+def _spell(tokens, keep: list[str]):
+    """Ids of rare words put in their places, and the bytes of all ids."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = tokens.value.__getitem__
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                out, ends, packed, decoded = [], [0], [], []
+                for own, rare in zip(batch.column("_ids"), batch.column("_rare"), strict=True):
+                    ids = own.values.to_numpy()
+                    gaps = np.flatnonzero(ids < 0)
+                    if len(gaps):
+                        words = [np.array(w, np.int32) for w in rare.as_py()]
+                        parts, last = [], 0
+                        for g, k in zip(gaps.tolist(), (-1 - ids[gaps]).tolist(), strict=True):
+                            parts += [ids[last:g], words[k]]
+                            last = g + 1
+                        ids = np.concatenate([*parts, ids[last:]])
+                    out.append(ids)
+                    ends.append(ends[-1] + len(ids))
+                    packed.append(ids.astype("<u4").tobytes())
+                    decoded.append(b"".join(map(piece, ids.tolist())))
+                values = pa.array(np.concatenate([np.zeros(0, np.int32), *out]).astype(np.int32))
+                columns = [*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "packed", "decoded"])
+
+    return spell

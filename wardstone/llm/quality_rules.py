@@ -111,3 +111,13 @@ def quality_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
         n_failed.cast("long").alias("n_lines_failed"),
         (~failed & (lost * MAX_LOSS <= F.col("n_words"))).alias("kept"),
     )
+
+
+def keep_clean(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that ``quality_rules`` keeps, with its columns.
+
+    The counts of documents in and kept are observed. The observation also stands between the verdict
+    and the filter: pushed below the projections, the filter would repeat their work in nested lambdas.
+    """
+    judged = quality_rules(df, text_col).observe("quality rules", F.count("*").alias("documents"), F.count_if("kept").alias("kept"))
+    return judged.where("kept")

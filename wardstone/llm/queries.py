@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstone.llm.byte_bpe import byte_bpe, ids_bytes, read_ranks
+from wardstone.llm.byte_bpe import byte_bpe, read_ranks
 from wardstone.llm.factorization import quality_scores
 from wardstone.llm.katz import katz_scores
 from wardstone.llm.line_dedup import line_dedup
@@ -69,7 +69,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     found = byte_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_bytes(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
