@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardstone.llm._store import cut
 from wardstone.llm.byte_bpe import byte_bpe, read_ranks
 from wardstone.llm.line_dedup import line_dedup
-from wardstone.llm.quality_rules import quality_rules
+from wardstone.llm.quality_rules import keep_clean
 from wardstone.llm.simhash import simhash_dedup
 from wardstone.llm.wu_manber import decontaminate
 
@@ -20,7 +20,7 @@ def _as(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that the rules reject."""
-    return _as(docs, quality_rules(docs).where("kept"))
+    return _as(docs, keep_clean(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
