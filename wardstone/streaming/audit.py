@@ -1,0 +1,81 @@
+"""Live audit analytics by Structured Streaming, with the functions that batch uses."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from wardstone.operators import risk
+from wardstone.sources.audit import AUDIT_SCHEMA
+
+
+def read(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA, files: int = 64) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def hits(events: DataFrame, assets: DataFrame) -> DataFrame:
+    """One row for each hit of the stateless rules. Assets are a static table; nothing is kept."""
+    text = F.lower(F.coalesce("original_sql", F.lit("")))
+    known = F.broadcast(assets.where("enabled").groupBy().agg(F.collect_list(F.struct("key", "sensitivity")).alias("_assets")))
+    found = events.join(known, how="cross").withColumn("select_star", F.coalesce(F.col("original_sql").rlike(risk.SELECT_STAR), F.lit(False))).withColumn("_words", F.split(text, r"[^\w$]+"))
+    part = lambda a, i: F.element_at(F.split(F.lower(a["key"]), r"\."), i)
+    seen = F.filter("_assets", lambda a: F.array_contains("_words", part(a, -2)) & (F.col("select_star") | F.array_contains("_words", part(a, -1))))
+    found = found.withColumn("sensitive_columns", seen).withColumn("hit", F.explode(risk.stateless_hits()))
+    return found.select("event_id", "ts", "user", "hit.rule", "hit.severity")
+
+
+def first_touches(events: DataFrame, thing: str, late: str = "1 day") -> DataFrame:
+    """The first event of each thing and user within the watermark; state older than it is dropped."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([thing, "user"])
+
+
+def windowed(events: DataFrame, width: str, late: str = "10 minutes", slide: str | None = None, by: str = "user") -> DataFrame:
+    """Counts by tumbling or sliding window; late events count until the watermark passes."""
+    window = F.window("ts", width, slide) if slide else F.window("ts", width)
+    return events.withWatermark("ts", late).groupBy(window.alias("window"), by).agg(F.count("*").alias("n")).select("window.start", "window.end", by, "n")
+
+
+def sessions(events: DataFrame, gap: str, late: str = "10 minutes", by: str = "user") -> DataFrame:
+    found = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("n"))
+    return found.select("w.start", "w.end", by, "n")
+
+
+ALERTS = "rule string, user string, alert_no int, first_hit timestamp, last_hit timestamp, event_count long, severity string, event_ids array<string>"
+
+
+def alerts(found: DataFrame, cooldown: float = 900, least: str = "MEDIUM", keep: int = 50, late: str = "10 minutes") -> DataFrame:
+    """Folded alerts, each change as an update of its (rule, user, alert_no)."""
+    names = list(risk.WEIGHTS)
+    state_schema = "alert_no int, first double, last double, n long, rank int, ids array<string>"
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        no, first, last, n, top, ids = state.get if state.exists else (0, 0.0, float("-inf"), 0, 0, [])
+        ids, out = list(ids), {}
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"]) if not state.hasTimedOut else pd.DataFrame()
+        for r in rows.itertuples():
+            at = r.ts.timestamp()
+            if at - last > cooldown:
+                no, first, n, top, ids = no + 1, at, 0, 0, []
+            last, n, top = max(last, at), n + 1, max(top, names.index(r.severity))
+            ids = ids + [r.event_id] if len(ids) < keep else ids
+            out[no] = (key[0], key[1], no, pd.Timestamp(first, unit="s"), pd.Timestamp(last, unit="s"), n, names[top], ids)
+        state.update((no, first, last, n, top, ids))
+        yield pd.DataFrame(list(out.values()), columns=["rule", "user", "alert_no", "first_hit", "last_hit", "event_count", "severity", "event_ids"])
+
+    own = found.where(risk.rank(F.col("severity")) >= names.index(least)).withColumn("user", F.coalesce("user", F.lit("(unknown)"))).withWatermark("ts", late)
+    return own.groupBy("rule", "user").applyInPandasWithState(fold, ALERTS, state_schema, "update", GroupStateTimeout.NoTimeout)
+
+
+def store(frame: DataFrame, path: str, checkpoint: str, notify=None, mode: str = "append"):
+    """Write each batch to a table; ``notify`` gets its rows of HIGH and more, 64 at the most."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        if notify:
+            notify(batch.where(risk.rank(F.col("severity")) >= 3).limit(64).collect())
+
+    return frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
