@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardstone.llm.byte_bpe import byte_bpe, read_ranks
 from wardstone.llm.factorization import quality_scores
+from wardstone.llm.html_text import extract_text
 from wardstone.llm.katz import katz_scores
 from wardstone.llm.line_dedup import line_dedup
 from wardstone.llm.quality_rules import quality_rules
@@ -37,6 +38,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_bucket(5) == 0, F.lit(False)).alias("held_out"), "expected_severity", "severity", "score", "toxic")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), _bucket(5) != 0)
@@ -77,4 +82,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_toxicity, op4_quality_classifier, op5_katz_backoff, op6_benchmark_decontamination, op7_simhash_near_dedup, op8_line_dedup, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_toxicity, op3_html_extraction, op4_quality_classifier, op5_katz_backoff, op6_benchmark_decontamination, op7_simhash_near_dedup, op8_line_dedup, op9_byte_bpe, op10_quality_rules)}
