@@ -22,7 +22,7 @@ def _sort(text: np.ndarray, size: int) -> np.ndarray:
     smaller = _smaller(text)
     leftmost = np.flatnonzero(np.concatenate([[False], smaller[1:] & ~smaller[:-1]]))
     ends = np.cumsum(np.bincount(text, minlength=size))
-    induce = _by_bucket if n >= DENSE * size else _by_element
+    induce = _by_bucket if n >= DENSE * size and size < 1 << 16 else _by_element
     # Leftmost-smaller suffixes by first letter give their substrings' order; equal ones get one name.
     order = induce(text, smaller, ends, leftmost)
     ranked = order[np.isin(order, leftmost, assume_unique=True)] if n < 64 else order[_flags(n, leftmost)[order]]
@@ -80,7 +80,7 @@ def _by_bucket(text: np.ndarray, smaller: np.ndarray, ends: np.ndarray, seeds: n
     size = len(ends)
     starts = np.concatenate([[0], ends[:-1]])
     letters = text[seeds]
-    grouped = seeds[np.argsort(letters, kind="stable")]
+    grouped = seeds[np.argsort(letters.astype(np.uint16), kind="stable")]
     seed_ends = np.cumsum(np.bincount(letters, minlength=size))
     seed_starts = np.concatenate([[0], seed_ends[:-1]])
     larger: list[list[np.ndarray]] = [[] for _ in range(size)]
@@ -94,7 +94,7 @@ def _by_bucket(text: np.ndarray, smaller: np.ndarray, ends: np.ndarray, seeds: n
         again = before[own_letters == c]
         rest, rest_letters = before[own_letters != c], own_letters[own_letters != c]
         if len(rest):
-            by = np.argsort(rest_letters, kind="stable")
+            by = np.argsort(rest_letters.astype(np.uint16), kind="stable")  # letters are few here
             rest, rest_letters = rest[by], rest_letters[by]
             edges = np.flatnonzero(np.concatenate([[True], rest_letters[1:] != rest_letters[:-1]]))
             for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(rest)], strict=True):
@@ -161,26 +161,31 @@ def _by_element(text: np.ndarray, smaller: np.ndarray, ends: np.ndarray, seeds:
 
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Permuted common prefixes: for each place of the text, the length that its suffix shares with the
-    suffix before it in ``order``. Going through the text, each is the last one's less one, or more."""
+    suffix before it in ``order``. ``text`` is of bytes, integers below 256.
+
+    Where the letters before both suffixes are equal, the length is that of the place before, less one. It is
+    worked out letter by letter, eight at a time, only at the other places."""
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    raw = text.astype(np.uint16).tobytes() if n and int(text.max()) < 1 << 16 else None
-    phi = before.tolist()
-    letters = text.tolist()
-    out = [0] * n
-    length = 0
-    for i in range(n):
-        j = phi[i]
-        if j < 0:
-            length = 0
-            continue
-        if raw is not None:
-            step = 64
-            while raw[2 * (i + length) : 2 * (i + length + step)] == raw[2 * (j + length) : 2 * (j + length + step)] and max(i, j) + length + step <= n:
-                length += step
-        while i + length < n and j + length < n and letters[i + length] == letters[j + length]:
-            length += 1
-        out[i] = length
-        length = length - 1 if length else 0
-    return np.array(out, np.int64)
+    place = np.arange(n)
+    own = (before <= 0) | (place == 0)
+    own[~own] = text[place[~own] - 1] != text[before[~own] - 1]
+    flat = np.concatenate([text.astype(np.uint8), np.zeros(16, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(flat[:8].view(np.uint64), (n + 9,), (1,))
+    heads = np.flatnonzero(own)
+    live = heads[before[heads] >= 0]
+    length = np.zeros(n, np.int64)
+    while len(live):
+        a, b = live + length[live], before[live] + length[live]
+        room = n - np.maximum(a, b)
+        differ = words[np.minimum(a, n)] ^ words[np.minimum(b, n)]
+        low = differ & (~differ + np.uint64(1))  # the lowest bit that differs
+        same = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8)
+        more = np.minimum(same, room)
+        length[live] += more
+        live = live[more == 8]
+    if not n:
+        return length
+    last = np.maximum.accumulate(np.where(own, place, 0))
+    return np.maximum(length[last] - (place - last), 0)

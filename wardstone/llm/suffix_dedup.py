@@ -30,7 +30,7 @@ HOT, REFINED = 20_000, 150
 #: Bits of the filter that tells which keys occur twice: eight to sixteen a key, up to this many in all.
 FILTER_BITS = 1 << 29
 #: Text bytes of a shard that meet in one suffix array.
-SHARD = 1 << 18
+SHARD = 1 << 20
 
 _MULTIPLIER = 0xD6E8FEB86659FD93
 
@@ -42,20 +42,28 @@ def _hash_table(seed: int) -> np.ndarray:
 _TABLES = {GRAM: _hash_table(11), REFINED: _hash_table(12)}
 
 
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier's powers 0 to n and their inverses mod 2^64, kept from call to call."""
+    if len(_POWERS.get("up", ())) <= n:
+        for name, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
+            power = np.full(max(n + 1, 1 << 20), base, np.uint64)
+            power[0] = 1
+            with np.errstate(over="ignore"):
+                _POWERS[name] = np.multiply.accumulate(power)
+    return _POWERS["up"], _POWERS["down"]
+
+
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of each string of ``gram`` bytes, by prefix sums of a polynomial mod 2^64."""
     n = len(data)
+    up, down = _powers(n)
     with np.errstate(over="ignore"):
-        power = np.full(n + 1, _MULTIPLIER, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        inverse = np.uint64(pow(_MULTIPLIER, -1, 1 << 64))
-        back = np.full(n + 1, inverse, np.uint64)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLES[gram][data] * power[:n], out=sums[1:])
-        h = (sums[gram:] - sums[:-gram]) * back[: n - gram + 1]
+        np.cumsum(_TABLES[gram][data] * up[:n], out=sums[1:])
+        h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x9FB21C651E98DF25)
         return h ^ (h >> np.uint64(29))
@@ -71,35 +79,41 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(data: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a text: key, first window and last window of each segment, and whether its key occurs more
-    than once in the segment's own text."""
+def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows end to end: key, row, first and last window (by place in ``data``) of each segment, and
+    the hashes of all GRAM bytes. No segment has windows of two rows, or a window that crosses rows."""
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     if len(data) < span:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none.astype(bool)
+        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
     hashes = gram_hashes(data, GRAM)
     least = sliding_least(hashes, span - GRAM + 1)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.concatenate([first[1:] - 1, [len(least) - 1]])
-    if (last - first).max() >= RUN:
+    starts, valid = row[: len(least)], row[: len(least)] == row[span - 1 :]
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (starts[1:] != starts[:-1]) | ~valid[:-1]
+    first = np.flatnonzero(new & valid)
+    edges = np.append(np.flatnonzero(new | ~valid), len(least))
+    last = edges[np.searchsorted(edges, first, "right")] - 1
+    if len(first) and (last - first).max() >= RUN:
         parts = [(s, min(s + RUN - 1, b)) for a, b in zip(first.tolist(), last.tolist(), strict=True) for s in range(a, b + 1, RUN)]
         first, last = np.array(parts, np.int64).T
-    key = least[first]
-    count = np.zeros(len(first), np.int64)
-    # Occurrences of the key among the grams of the segment's text, which reaches into its neighbours'.
-    at = np.flatnonzero(np.isin(hashes, key))
-    low, high = np.searchsorted(at, first), np.searchsorted(at, last + span - GRAM, "right")
-    for i in np.flatnonzero(high - low > 1).tolist():
-        count[i] = int((hashes[at[low[i] : high[i]]] == key[i]).sum())
-    return key, first, last, count > 1
+    return least[first], row[first].astype(np.int64), first, last, hashes
+
+
+def again(hashes: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, span: int) -> np.ndarray:
+    """Whether each segment's key occurs more than once in its own text."""
+    size = last - first + span - GRAM + 1
+    ends = np.cumsum(size)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
+    same = hashes[at] == np.repeat(key, size)
+    return np.add.reduceat(same.astype(np.int32), ends - size) > 1 if len(ends) else np.zeros(0, bool)
 
 
 def _key_counter(text: str, span: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in slices(batch, text):
-                keys = [segments(data[a:b], span)[0] for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
-                found, n = np.unique(np.concatenate(keys), return_counts=True)
+                found, n = np.unique(segments(data, offsets, span)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return count
@@ -159,31 +173,30 @@ def _picker(sent, hot, id_col: str, text: str, span: int):
 
         for batch in batches:
             for rows, data, offsets in slices(batch, text):
-                key_, doc_, at_, text_ = [], [], [], []
-                for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
-                    own = data[a:b]
-                    key, first, last, again = segments(own, span)
-                    if not len(key):
-                        continue
-                    pick_ = np.flatnonzero(again | likely(key))
-                    doc, raw = rows.column(id_col)[i], own.tobytes()
-                    burning = np.isin(key[pick_], frequent)
-                    for k in pick_[~burning].tolist():
-                        key_.append(key[k])
-                        doc_.append(doc)
-                        at_.append(int(first[k]))
-                        text_.append(raw[first[k] : last[k] + span])
-                    for k in pick_[burning].tolist():
-                        part = np.frombuffer(raw[first[k] : last[k] + span], np.uint8)
-                        fine = sliding_least(gram_hashes(part, REFINED), span - REFINED + 1)
-                        cut_ = np.flatnonzero(np.concatenate([[True], fine[1:] != fine[:-1]]))
-                        for s, e in zip(cut_.tolist(), [*(cut_[1:] - 1).tolist(), len(fine) - 1], strict=True):
-                            key_.append(key[k] ^ fine[s])
-                            doc_.append(doc)
-                            at_.append(int(first[k]) + s)
-                            text_.append(part[s : e + span].tobytes())
+                key, row, first, last, hashes = segments(data, offsets, span)
+                may = likely(key)
+                rest = np.flatnonzero(~may)
+                may[rest] = again(hashes, key[rest], first[rest], last[rest], span)
+                at = np.flatnonzero(may)
+                key, row, first, last = key[at], row[at], first[at], last[at]
+                raw, begin = data.tobytes(), offsets[row]
+                key_, row_, at_, text_ = [], [], [], []
+                burning = np.isin(key, frequent)
+                for k, r, o, s, e in zip(*[x[~burning].tolist() for x in (key, row, begin, first, last)], strict=True):
+                    key_.append(k)
+                    row_.append(r)
+                    at_.append(s - o)
+                    text_.append(raw[s : e + span])
+                for k, r, o, a, z in zip(*[x[burning].tolist() for x in (key, row, begin, first, last)], strict=True):
+                    fine = sliding_least(gram_hashes(data[a : z + span], REFINED), span - REFINED + 1)
+                    edge = np.flatnonzero(np.concatenate([[True], fine[1:] != fine[:-1]])).tolist()
+                    for s, e in zip(edge, [*edge[1:], len(fine)], strict=True):
+                        key_.append(k ^ int(fine[s]))
+                        row_.append(r)
+                        at_.append(a + s - o)
+                        text_.append(raw[a + s : a + e - 1 + span])
                 if key_:
-                    ids = pa.array([d.as_py() for d in doc_], rows.schema.field(id_col).type)
+                    ids = rows.column(id_col).take(pa.array(row_))
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(key_, np.uint64).view(np.int64)), ids, pa.array(at_, pa.int64()), pa.array(text_, pa.binary())], names=["key", "doc", "at", "part"])
 
     return pick
@@ -197,11 +210,11 @@ def repeats(texts: list[bytes], many: list[bool], span: int) -> list[list[tuple[
         starts.append(at)
         whole.append(text)
         at += len(text) + 1
-    # Bytes are shifted by two; one ends each text, and common prefixes are clipped at the text's end.
-    flat = np.ones(at, np.int64)
+    # An 0xFF, which UTF-8 never has, ends each text; common prefixes are clipped at the text's end.
+    flat = np.full(at, 0xFF, np.int64)
     ends = np.zeros(at, np.int64)
     for start, text in zip(starts, whole, strict=True):
-        flat[start : start + len(text)] = np.frombuffer(text, np.uint8).astype(np.int64) + 2
+        flat[start : start + len(text)] = np.frombuffer(text, np.uint8).astype(np.int64)
         ends[start : start + len(text) + 1] = start + len(text)
     order = suffix_array(flat)
     left = common_prefixes(flat, order)  # with the suffix before, by place in the text
