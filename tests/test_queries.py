@@ -1,0 +1,24 @@
+import os
+
+import duckdb
+import pytest
+
+from wardstone.queries import governed, surface
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+NAMES = ["g_join", "g_expression", "g_window", "g_scalar_subquery", "g_rollup", "e7_sliding_count", "e12_alerts", "r15_baseline", "j7_asof", "a2_rollup", "j12_range", "w5_lag_lead"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_against_duckdb(spark, name):
+    con = duckdb.connect()
+    for t in surface.TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = (surface.QUERIES | governed.QUERIES)[name](spark, SF)
+    columns = sorted(df.columns)
+    ours = sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    cursor = con.execute((surface.SQL | governed.SQL)[name])
+    at = [[c[0] for c in cursor.description].index(c) for c in columns]
+    theirs = sorted((tuple(r[i] for i in at) for r in cursor.fetchall()), key=repr)
+    assert ours and ours == theirs

@@ -217,7 +217,9 @@ class Governance:
             if (source := plan.inherited.get(name.lower())) and all(p.name != f"auto.inherit.{short}.{target.lower()}" for p in self.policies):
                 policy = next(p for p in self.index.ordered if p.kind == "mask" and any(r.covers(*source) for r in p.resources))
                 added.append(Policy(f"auto.inherit.{short}.{target.lower()}", (Resource(self.catalog, self.schema, short, target.lower(), True),), policy.items, priority=policy.priority))
-        self.tables[short] = self.spark.table(table)
+        full = f"{self.catalog}.{self.schema}.{short}"
+        self.spark.catalog.refreshTable(full)  # the write went through another session
+        self.tables[short] = self.spark.table(full)
         self.set_policies([*self.policies, *added])
 
 

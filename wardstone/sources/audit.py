@@ -23,8 +23,8 @@ def decode(documents: DataFrame, column: str = "value") -> DataFrame:
     d = F.col("d")
     return out.select(
         F.coalesce(d["id"], F.sha2("_raw", 256)).alias("event_id"), _when(F.col("_at")).alias("ts"), d["eventType"].alias("event_type"), d["outcome"].alias("outcome"), d["service"].alias("service"), d["sourceIp"].alias("source_ip"),
-        d["actor.user"].alias("user"), d["actor.authKind"].alias("auth_kind"), d["dialect"].alias("dialect"), d["statementCount"].alias("statement_count"), d["masked"].alias("masked"), d["rowFiltered"].alias("row_filtered"),
-        d["originalSql"].alias("original_sql"), d["instance"].alias("instance"), d["error.code"].alias("error_code"), d["detail.rowCount"].alias("row_count"),
+        d["actor"]["user"].alias("user"), d["actor"]["authKind"].alias("auth_kind"), d["dialect"].alias("dialect"), d["statementCount"].alias("statement_count"), d["masked"].alias("masked"), d["rowFiltered"].alias("row_filtered"),
+        d["originalSql"].alias("original_sql"), d["instance"].alias("instance"), d["error"]["code"].alias("error_code"), d["detail"]["rowCount"].alias("row_count"),
     )
 
 
