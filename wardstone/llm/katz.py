@@ -258,7 +258,7 @@ def _count_of(pairs: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == pairs, n[at], 0)
 
 
-_SPREAD = "part int, pairs binary, times binary, docs binary, rows binary"
+_SPREAD = "part int, pairs binary, times binary, docs binary, rows binary, chunk bigint"
 
 
 def _spreader(sent, tables, hot, row: str, text: str, parts: int):
@@ -289,11 +289,13 @@ def _spreader(sent, tables, hot, row: str, text: str, parts: int):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        reader, held, rows, bytes_ = _Reader(sent.value), [], [], 0
+        reader, held, rows, bytes_, chunk = _Reader(sent.value), [], [], 0, TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
-            got = list(zip(*flush(held, rows, reader.size, TaskContext.get().partitionId()), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int32()), *[pa.array(x, pa.binary()) for x in got[1:]]], names=["part", "pairs", "times", "docs", "rows"])
+            nonlocal chunk
+            chunk += 1
+            got = list(zip(*flush(held, rows, reader.size, chunk), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int32()), *[pa.array(x, pa.binary()) for x in got[1:]], pa.array([chunk] * len(got[0]), pa.int64())], names=["part", "pairs", "times", "docs", "rows", "chunk"])
 
         for batch in batches:
             for own, data, offsets in slices(batch, text):
@@ -317,7 +319,7 @@ def _scorer(tables, size: int):
         keys = n = np.zeros(0, np.int64)
         if right.num_rows:
             keys, n = np.cumsum(_unpacked(right.column("pairs")[0].as_py())), _unpacked(right.column("n")[0].as_py())
-        rows_out, sums_out = [np.zeros(0, np.int64)], [np.zeros(0)]
+        chunks, rows_out, sums_out = [], [], []
         for i in range(left.num_rows):
             rows = _unpacked(left.column("rows")[i].as_py())
             if left.column("part")[i].as_py() < 0:
@@ -326,13 +328,22 @@ def _scorer(tables, size: int):
                 own, times, docs = (_unpacked(left.column(c)[i].as_py()) for c in ("pairs", "times", "docs"))
                 own = np.cumsum(own)
                 total = np.bincount(docs, np.repeat(_log_p(tables.value, size, own, _count_of(own, keys, n)), times), len(rows))
-            rows_out.append(rows)
-            sums_out.append(total)
-        return pa.table({"row": pa.array(np.concatenate(rows_out)), "s": pa.array(np.concatenate(sums_out))})
+            chunks.append(left.column("chunk")[i].as_py())
+            rows_out.append(left.column("rows")[i].as_py())
+            sums_out.append(total.astype(np.float64).tobytes())
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "rows": pa.array(rows_out, pa.binary()), "sums": pa.array(sums_out, pa.binary())})
 
     return score_part
 
 
+def _gather(table: pa.Table) -> pa.Table:
+    """Sums over all parts for the texts of one chunk."""
+    rows = np.concatenate([_unpacked(x) for x in table.column("rows").to_pylist()])
+    sums = np.concatenate([np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist()])
+    found, at = np.unique(rows, return_inverse=True)
+    return pa.table({"row": pa.array(found), "s": pa.array(np.bincount(at, sums, len(found)))})
+
+
 def score(docs: DataFrame, model: KatzModel, row: str, text: str) -> DataFrame:
     """(row, n_tokens, n_known, base_score, score) for texts told apart by the bigint ``row``."""
     spark = docs.sparkSession
@@ -340,8 +351,8 @@ def score(docs: DataFrame, model: KatzModel, row: str, text: str) -> DataFrame:
     sent, size = send(model.words), len(model.words) + 2
     tables, hot = send((model.log_p1, model.weight, model.scale, model.history, model.factors)), send(model.hot)
     spread = docs.select(row, text).mapInArrow(_spreader(sent, tables, hot, row, text, model.parts), _SPREAD)
-    pairs = spread.groupBy("part").cogroup(model.table.groupBy("part")).applyInArrow(_scorer(tables, size), "row bigint, s double")
-    pairs = pairs.groupBy("row").agg(F.sum("s").alias("s"))
+    pairs = spread.groupBy("part").cogroup(model.table.groupBy("part")).applyInArrow(_scorer(tables, size), "chunk bigint, rows binary, sums binary")
+    pairs = pairs.groupBy("chunk").applyInArrow(_gather, "row bigint, s double")
     counts_sent = send(model.counts_of_words)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
