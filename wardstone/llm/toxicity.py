@@ -26,10 +26,12 @@ SAMPLE = 12_000
 LEVELS = 3
 #: A word weighs if the number of toxic rows that hold it is this many standard deviations from what is to be
 #: expected of a word so frequent; with a positive deviation it also counts as marked.
-SURE, LEAST = 5.0, 4
+SURE, LEAST = 4.0, 4
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.1, 1e-6
 #: Beside words, their first bytes weigh, for languages that compound or inflect.
-STEMS = (5, 6, 7)
+STEMS = (4, 5, 6, 7, 8, 10)
+#: Least score of a toxic row.
+TOXIC = 0.25
 
 
 def presence(text: bytes, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +40,7 @@ def presence(text: bytes, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
     stems: Counter[bytes] = Counter()
     for word, n in found.items():
         for k in STEMS:
-            if len(word) > k:
+            if len(word) >= k:
                 stems[b"%d-%b" % (k, word[:k])] += n
     found.update(stems)
     ids = np.fromiter(map(buckets.__getitem__, found), np.int32, len(found))
@@ -103,7 +105,7 @@ def fit(ids: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray, weighs
 
 def toxicity(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = SAMPLE) -> DataFrame:
     """``df`` with expected_severity (double), severity (its likeliest grade, int), score (probability of
-    any grade above 0) and toxic (score of one half or more).
+    any grade above 0) and toxic (score of TOXIC or more).
 
     Null and empty texts have no words and get the thresholds' own probabilities. Rows are scored one
     by one; an empty table gives an empty one; columns with an added name are replaced, others pass.
@@ -126,7 +128,7 @@ def toxicity(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "do
                 below = _sigmoid(t[None, :] - margin[:, None])
                 each = np.diff(np.concatenate([np.zeros((len(margin), 1)), below, np.ones((len(margin), 1))], axis=1))
                 score = 1 - below[:, 0]
-                new = [pa.array(each @ np.arange(LEVELS + 1.0)), pa.array(each.argmax(1).astype(np.int32)), pa.array(score), pa.array(score >= 0.5)]
+                new = [pa.array(each @ np.arange(LEVELS + 1.0)), pa.array(each.argmax(1).astype(np.int32)), pa.array(score), pa.array(score >= TOXIC)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *out])
 
     return base.mapInArrow(score, schema)
