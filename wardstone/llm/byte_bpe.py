@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from wardstone.llm._store import cut, without
 
-#: Most words whose ids are sent to the tasks: 64 MB at the most, some 200 MB as a dictionary.
-FREQUENT = 1 << 20
+#: Most words whose ids are sent to the tasks: 32 MB at the most, some 100 MB as a dictionary in each worker.
+FREQUENT = 1 << 19
 #: Longest word, in bytes, among those.
 FREQUENT_BYTES = 32
 NO_RANK = (1 << 31) - 1
