@@ -80,6 +80,38 @@ def test_katz(spark):
     assert katz.katz_scores(table(spark, []), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 300, "part_tokens": 150, "hot_over": 30}])
+def test_katz_has_bigrams_of_every_word(spark, sizes):
+    rng = random.Random(6)
+    texts = [" ".join("w%d" % int(rng.paretovariate(0.6)) for _ in range(rng.randrange(60))) for _ in range(60)] + ["", None, "unseen1 w1 unseen2 w2"]
+    own = [katz.tokens((t or "").encode()) for t in texts]
+    train = [t for k, t in enumerate(own) if k % 5 and k < 62]
+    c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([b"start", *t], t, strict=False))
+    whole, histories = sum(c.values()) + len(c) + 1, Counter(c) | Counter({b"start": len(train)})
+    factors = katz.discounts(Counter(pairs.values()))
+    after = {}
+    for (h, w), n in pairs.items():
+        after.setdefault(h, {})[w] = n * factors[n - 1] if n <= katz.K else n
+
+    def log_p(h, w):
+        p1 = (c[w] + 1) / whole
+        if h not in after:
+            return np.log10(p1)
+        kept = sum(after[h].values()) / histories[h]
+        goal = min(kept, histories[h] / (histories[h] + 1))
+        if w in after[h]:
+            return np.log10(after[h][w] / histories[h] * goal / kept)
+        return np.log10((1 - goal) / (1 - sum((c[x] + 1) / whole for x in after[h])) * p1)
+
+    assert any(n == 1 for n in c.values()) and len(c) > 40
+    learns = (F.col("doc_id") % 5 != 0) & (F.col("doc_id") < 62)
+    for vocabulary in ({}, {"vocabulary": 12}):
+        found = {r.doc_id: r.score for r in katz.katz_scores(table(spark, texts), learns, **vocabulary, **sizes).collect()}
+        assert len(found) == len(texts)
+        for k, t in enumerate(own):
+            assert found[k] == pytest.approx(sum(log_p(h, w) for h, w in zip([b"start", *t], t, strict=False)))
+
+
 def test_backoff_is_normalised():
     history, p1 = np.array([10.0, 4.0, 0.0]), np.array([0.5, 0.3, 0.2])
     counts = np.array([[7, 3, 0], [2, 1, 1], [0, 0, 0]])

@@ -1,30 +1,28 @@
 """Language-model scoring with a Katz backoff bigram model.
 
-Tokens are words and one end. The VOCABULARY most frequent words (by counts over the whole training
-part) are classes of their own, all other words share one class; a word of that class is told by its own
-smoothed count within it, so every word, seen or not, has a probability:
+Tokens are words and one end. Every word of the training part has bigrams of its own, however rare it is:
 
-    P(word | history) = P(class | history's class) * P(word | class)
-    P(class | h) = discounted count(h, class) / count(h)   where that pair was seen,
-                   backoff weight(h) * P1(class)           where it was not.
+    P(word | h) = discounted count(h, word) / count(h)   where that pair was seen,
+                  backoff weight(h) * P1(word)           where it was not, or P1(word) after an unseen h.
 
 Counts up to K are discounted by Good and Turing's estimate from the counts of counts, and backoff
 weights are computed from the exact sums over what each history was seen with, so that each
-distribution adds up to one. P1 is the add-one unigram model over words, summed over a class.
+distribution adds up to one. P1 is the add-one unigram model, in which all unseen words are one.
 
-Pair counts are kept in tables dealt by pair. They travel packed, sorted and compressed: a task sends its
-different pairs once, with their counts, and for scoring with the documents that hold them. Only the
-class tables, bounded by VOCABULARY, are sent to all tasks.
+Words are told by 63 bits of their hash. Texts are read once, into chunks of numbered tokens; a chunk
+sends its different words, and then its different pairs, once each to the parts of the count tables, and
+gets back the counts over all chunks, and of each history what its weight is made of. Words are dealt by
+hash and pairs by history. Only histories too common for one part are dealt by pair instead and have their
+sums sent to all tasks; there are at most HOT_WORDS such, and the model is the same for them.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,28 +30,28 @@ from pyspark.sql import functions as F
 from wardstone.llm._arrow import slices
 from wardstone.llm._store import cut
 
-VOCABULARY = 1 << 17
 #: Counts up to this are discounted.
 K = 5
-#: Text bytes whose pairs are put together before they are sent.
-CHUNK = 32 << 20
-#: Training tokens for each part of the pair tables.
+#: Text bytes whose words and pairs are put together before they are sent.
+CHUNK = 8 << 20
+#: Tokens for each part of the count tables.
 PART_TOKENS = 2_000_000
-#: A pair seen more often than this, and than one time in HOT_PAIRS, is scored where it stands: its count is sent
-#: to all tasks (there are at most HOT_PAIRS such), and no part of the table gets its documents.
-HOT, HOT_PAIRS = 20_000, 1 << 16
-END = b"\n"  # no word holds white space
-
-_LOG10 = math.log10
+#: Words seen more often than this, and than one time in HOT_WORDS, have their pairs dealt over all parts.
+HOT, HOT_WORDS = 250_000, 1 << 12
+END, START = b"\n", b"\n\n"  # no word holds white space
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def _hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 42) >> 1
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Integers of 64 bits, byte by byte of each, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -65,77 +63,202 @@ def _sorted_packed(keys: np.ndarray) -> bytes:
     return _packed(np.diff(keys, prepend=0))
 
 
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n) over all rows, the end included; counted per task first."""
+def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Equal ranges of the hashes, so that sorted hashes are in order of their parts."""
+    return (keys >> 32) * parts >> 31
+
+
+class _Ids(dict):
+    """Words numbered as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+_CHUNK = "chunk bigint, n_tokens bigint, train_tokens bigint, train_docs bigint, words binary, n binary, ids binary, rows binary, lens binary, train binary"
+
+
+def _reader(row: str, text: str, train: str, limit: int):
+    def flush(chunk: int, ids: _Ids, held: list[np.ndarray], rows: list[int], train: list[bool]) -> pa.RecordBatch:
+        # By falling frequency, for compression.
+        own, lens, learns = np.concatenate(held), np.array([len(x) for x in held]), np.array(train, bool)
+        by = np.argsort(-np.bincount(own, minlength=len(ids)), kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[by] = np.arange(len(ids))
+        own, hashes = rank[own], np.fromiter(map(_hash, ids), np.int64, len(ids))[by]
+        n = np.bincount(own[np.repeat(learns, lens)], minlength=len(ids))
+        values = [chunk, len(own), int(n.sum()), int(learns.sum()), hashes.tobytes(), *map(_packed, (n, own, np.array(rows, np.int64), lens, learns))]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=[c.split()[0] for c in _CHUNK.split(", ")])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, size, ids, held, rows, learns = TaskContext.get().partitionId() << 32, 0, _Ids({START: 0}), [], [], []
         for batch in batches:
-            for _, data, offsets in slices(batch, text):
+            for own, data, offsets in slices(batch, text):
                 raw, at = data.tobytes(), offsets.tolist()
-                found.update(raw.lower().split() if len(at) == 2 else [w for a, b in zip(at, at[1:], strict=False) for w in raw[a:b].lower().split()])
-                found[END] += len(at) - 1
-            if len(found) > 500_000:
-                yield _words(found)
-                found.clear()
-        yield _words(found)
+                for a, b in zip(at, at[1:], strict=False):
+                    found = tokens(raw[a:b])
+                    held.append(np.fromiter(map(ids.__getitem__, found), np.int32, len(found)))
+                rows += own.column(row).to_pylist()
+                learns += own.column(train).to_pylist()
+                size += len(raw) + 64 * len(at)
+                if size > limit:
+                    yield flush(chunk, ids, held, rows, learns)
+                    chunk, size, ids, held, rows, learns = chunk + 1, 0, _Ids({START: 0}), [], [], []
+        if held:
+            yield flush(chunk, ids, held, rows, learns)
 
-    return docs.select(text).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return read
 
 
-def _words(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, start, end) of each run of equal parts."""
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return ((int(part[s]), s, e) for s, e in zip(edges, edges[1:], strict=False) if s < e)
 
 
-class _Reader:
-    """Classes of the tokens of texts. Class 0 is the end, 1 the words without a class of their own,
-    and the history of a text's first token is ``size``."""
+def _word_sender(parts: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words, n in zip(*[batch.column(c).to_pylist() for c in ("chunk", "words", "n")], strict=True):
+                hashes, n = np.frombuffer(words, np.int64), _unpacked(n)
+                by = np.argsort(hashes)
+                hashes, n = hashes[by], n[by]
+                rows = [(p, _sorted_packed(hashes[s:e]), _packed(n[s:e])) for p, s, e in _by_part(_parts_of(hashes, parts))]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]], names=["chunk", "part", "words", "n"])
 
-    def __init__(self, words: list[bytes]):
-        self.of = {w: i + 2 for i, w in enumerate(words)} | {END: 0}
-        self.size = len(words) + 2
+    return send
 
-    def pairs(self, words: list[bytes]) -> np.ndarray:
-        get = self.of.get
-        own = np.fromiter((get(w, 1) for w in words), np.int64, len(words))
-        before = np.concatenate([[self.size], own[:-1]])
-        return before * (self.size + 1) + own
 
+#: What a part answers to each chunk. Rows of chunk -1 are for the model as a whole.
+_ANSWER = "chunk bigint, part int, of string, n binary, more binary, seen bigint"
 
-def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
+def _answers(of: str, part: int, rows: list[tuple]) -> pa.Table:
+    chunk, n, more, seen = zip(*rows, strict=True)
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array([part] * len(rows), pa.int32()), "of": pa.array([of] * len(rows), pa.string()), "n": pa.array(n, pa.binary()), "more": pa.array(more, pa.binary()), "seen": pa.array(seen, pa.int64())})
 
-def _counter(vocabulary, text: str, parts: int):
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        part = _parts_of(keys, parts)
-        rows = [(p, keys[part == p], n[part == p]) for p in np.unique(part).tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([_sorted_packed(r[1]) for r in rows], pa.binary()), pa.array([_packed(r[2]) for r in rows], pa.binary())], names=["part", "pairs", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held, size = _Reader(vocabulary.value), [], 0
-        for batch in batches:
-            for _, data, offsets in slices(batch, text):
-                raw, at = data.tobytes(), offsets.tolist()
-                held += [reader.pairs(tokens(raw[a:b])) for a, b in zip(at, at[1:], strict=False)]
-                size += len(raw) + 64 * len(at)
-                if size > CHUNK:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
+def _word_counter(often: int):
+    """Counts of one part's words over all chunks, and their numbers in the part, in order of their hashes."""
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        own = [np.cumsum(_unpacked(x)) for x in table.column("words").to_pylist()]
+        words, at = np.unique(np.concatenate(own), return_inverse=True)
+        n = np.bincount(at, np.concatenate([_unpacked(x) for x in table.column("n").to_pylist()])).astype(np.int64)
+        split = np.split(at, np.cumsum([len(x) for x in own])[:-1])
+        hot = n > often
+        rows = [(c, _packed(n[x]), _sorted_packed(x), 0) for c, x in zip(table.column("chunk").to_pylist(), split, strict=True)]
+        return _answers("words", key[0].as_py(), [*rows, (-1, _packed(n[hot]), _packed(words[hot]), int((n > 0).sum()))])
 
     return count
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """All counts of one part's pairs, added up."""
-    keys = np.concatenate([np.cumsum(_unpacked(x)) for x in table.column("pairs").to_pylist()])
-    n = np.concatenate([_unpacked(x) for x in table.column("n").to_pylist()])
-    found, at = np.unique(keys, return_inverse=True)
-    return pa.table({"part": table.column("part")[:1], "pairs": pa.array([_sorted_packed(found)], pa.binary()), "n": pa.array([_packed(np.bincount(at, n).astype(np.int64))], pa.binary())})
+class _Pairs:
+    """A chunk's different pairs, in the order in which they are sent to the parts."""
+
+    def __init__(self, chunk: dict, answers: Iterator[tuple[int, bytes, bytes]], ends: int, hot: np.ndarray, parts: int):
+        hashes = np.frombuffer(chunk["words"], np.int64)
+        by = np.argsort(hashes)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.words, self.own, self.lens = hashes[by], rank.astype(np.int32)[_unpacked(chunk["ids"])], _unpacked(chunk["lens"])
+        # Counts of the words over the training part, as words and as histories; their parts and numbers there.
+        edges = np.searchsorted(_parts_of(self.words, parts), np.arange(parts + 1))
+        self.c, self.ids = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
+        for part, n, number in answers:
+            self.c[edges[part] : edges[part + 1]] = _unpacked(n)
+            self.ids[edges[part] : edges[part + 1]] = (part << 40) + np.cumsum(_unpacked(number))
+        start = int(np.searchsorted(self.words, _hash(START)))
+        self.history = self.c.copy()
+        self.history[start] = ends
+        keys = np.concatenate([[start], self.own[:-1]])
+        keys[np.cumsum(self.lens)[:-1]] = start
+        keys *= len(by)
+        keys += self.own
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = _runs(keys)
+        self.at = np.empty(len(keys), np.int32)
+        self.at[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(keys)))
+        del order
+        self.h, self.w = np.divmod(keys[first], len(by))
+        del keys
+        #: Places of the pairs that are sent: all whose history was seen.
+        sent = np.flatnonzero(self.history[self.h] > 0)
+        h = self.words[self.h[sent]]
+        is_hot = np.isin(h, hot)
+        mixed = ((h ^ self.words[self.w[sent]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).astype(np.int64)
+        part = _parts_of(np.where(is_hot, mixed, h), parts)
+        by = np.argsort(part, kind="stable")
+        self.sent, self.part = sent[by], part[by]
+
+
+def _chunk_of(left: pa.Table) -> dict:
+    return {c: left.column(c)[0].as_py() for c in left.column_names}
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+_PAIRS = "chunk bigint, part int, h binary, k binary, w binary, n binary, c binary"
+
+
+def _pair_sender(ends: int, hot: np.ndarray, parts: int):
+    def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = _chunk_of(left)
+        pairs = _Pairs(chunk, zip(*[right.column(c).to_pylist() for c in ("part", "n", "more")], strict=True), ends, hot, parts)
+        learns = np.repeat(_unpacked(chunk["train"]), pairs.lens)
+        n = np.bincount(pairs.at, learns, len(pairs.h)).astype(np.int64)[pairs.sent]
+        h, w = pairs.h[pairs.sent], pairs.w[pairs.sent]
+        rows = []
+        for p, s, e in _by_part(pairs.part):
+            first = _runs(h[s:e])
+            rows.append((p, _sorted_packed(pairs.words[h[s:e][first]]), _packed(np.diff(first, append=e - s)), _packed(pairs.ids[w[s:e]]), _packed(n[s:e]), _packed(pairs.c[w[s:e]])))
+        return pa.table({"chunk": pa.array([chunk["chunk"]] * len(rows), pa.int64()), "part": pa.array([r[0] for r in rows], pa.int32())} | {c: pa.array([r[k + 1] for r in rows], pa.binary()) for k, c in enumerate("hkwnc")})
+
+    return send
+
+
+def _pair_counter(hot: np.ndarray):
+    """Counts of one part's pairs over all chunks; and of each history how many pairs have the counts 1
+    to K + 1, and the sum of count + 1 over the words it was seen with."""
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        chunks = table.column("chunk").to_pylist()
+        heads = [np.cumsum(_unpacked(x)) for x in table.column("h").to_pylist()]
+        h = np.concatenate([np.repeat(x, _unpacked(k)) for x, k in zip(heads, table.column("k").to_pylist(), strict=True)])
+        own = [_unpacked(x) for x in table.column("w").to_pylist()]
+        w = np.concatenate(own)
+        n, c = (np.concatenate([_unpacked(x) for x in table.column(name).to_pylist()]) for name in "nc")
+        by = np.lexsort((w, h))
+        new = np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (w[by][1:] != w[by][:-1])])
+        pair = np.empty(len(by), np.int64)
+        pair[by] = np.cumsum(new) - 1
+        total = np.bincount(pair, n).astype(np.int64)
+        first = by[new]
+        words, of = np.unique(h[first], return_inverse=True)
+        sums = np.stack([*[np.bincount(of, total == k, len(words)) for k in range(1, K + 2)], np.bincount(of, (total > 0) * (c[first] + 1.0), len(words))]).astype(np.int64)
+        rows = [(i, _packed(x), _packed(sums[:, np.searchsorted(words, y)].ravel()), 0) for i, x, y in zip(chunks, np.split(total[pair], np.cumsum([len(x) for x in own])[:-1]), heads, strict=True)]
+        # The history -1 stands for all: its sums are the counts of counts.
+        is_hot = np.isin(words, hot)
+        common = np.concatenate([sums.sum(1)[:, None], sums[:, is_hot]], 1)
+        return _answers("pairs", key[0].as_py(), [*rows, (-1, _packed(common.ravel()), _packed(np.concatenate([[-1], words[is_hot]])), 0)])
+
+    return count
+
+
+_SUMS = [f"n{k}" for k in range(1, K + 2)] + ["c"]
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, words in zip(batch.column("n").to_pylist(), batch.column("more").to_pylist(), strict=True):
+            words = _unpacked(words)
+            yield pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, _unpacked(n).reshape(-1, len(words)))], names=["h", *_SUMS])
 
 
 def discounts(seen: dict[int, int]) -> list[float]:
@@ -165,247 +288,69 @@ def backoff(history: np.ndarray, kept: np.ndarray, covered: np.ndarray) -> tuple
     return np.where(full, 0.0, (1 - goal) / np.where(full, 1, rest)), np.where(share > 0, goal / np.where(share > 0, share, 1), 1.0)
 
 
-class KatzModel:
-    """A trained model: the class words and their tables on the driver (bounded), pair counts in parts."""
-
-    def __init__(self, **parts):
-        self.__dict__ |= parts
-
-
-def train(docs: DataFrame, text: str, vocabulary: int = VOCABULARY) -> KatzModel:
-    spark = docs.sparkSession
-    counts = cut(word_counts(docs, text), "words")
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # The lowest count at which the words number at most vocabulary: a cut by count, ties together.
-    least, total = 1, 0
-    for c, words in counts.where(F.col("word") != F.lit(END)).groupBy(F.least("n", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("words")).orderBy(F.desc("c")).collect():
-        if total + words > vocabulary:
-            least = c + 1
-            break
-        total += words
-    top = counts.where((F.col("n") >= least) & (F.col("word") != F.lit(END))).orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
-    words = top.column("word").to_pylist()
-    own = np.array(top.column("n").to_pylist(), np.int64)
-    ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    seen_end = 1 if ends else 0
-    rare_tokens, rare_words = n - ends - int(own.sum()), v - len(words) - seen_end
-    size = len(words) + 2
-    # The end has the unseen word's mass added to its class only if it was never seen: it is then that word.
-    p1 = np.concatenate([[ends + 1, rare_tokens + rare_words + 1], own + 1]).astype(float) / (n + v + 1)
-    p1 /= p1.sum()
-    sent = spark.sparkContext.broadcast(words)
-    parts = max(1, -(-n // PART_TOKENS))
-    table = docs.select(text).mapInArrow(_counter(sent, text, parts), "part int, pairs binary, n binary")
-    table = cut(table.groupBy("part").applyInArrow(_merge, "part int, pairs binary, n binary"), "pairs")
-    seen = Counter()
-
-    def low(batches):
-        for batch in batches:
-            for x in batch.column("n").to_pylist():
-                c, k = np.unique(np.minimum(_unpacked(x), K + 2), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(k)], names=["c", "k"])
-
-    for c, k in table.select("n").mapInArrow(low, "c bigint, k bigint").groupBy("c").agg(F.sum("k")).collect():
-        seen[c] = k
-    factors = discounts(seen)
-
-    def sums(batches):
-        kept, history, covered = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-        for batch in batches:
-            for a, b in zip(batch.column("pairs").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                keys, count = np.cumsum(_unpacked(a)), _unpacked(b)
-                h, c = keys // (size + 1), keys % (size + 1)
-                history += np.bincount(h, count, size + 1)
-                kept += np.bincount(h, _discounted(count, factors), size + 1)
-                covered += np.bincount(h, p1[c], size + 1)
-        at = np.flatnonzero(history)
-        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(x[at]) for x in (history, kept, covered)]], names=["h", "history", "kept", "covered"])
-
-    rows = table.select("pairs", "n").mapInArrow(sums, "h bigint, history double, kept double, covered double").groupBy("h").agg(*[F.sum(c) for c in ("history", "kept", "covered")]).toArrow()
-    at = np.array(rows.column(0).to_pylist(), np.int64)
-    history, kept, covered = (np.zeros(size + 1) for _ in range(3))
-    for k, into in enumerate((history, kept, covered)):
-        into[at] = rows.column(k + 1).to_numpy()
-    weight, scale = backoff(history, kept, covered)
-    often = max(HOT, n // HOT_PAIRS)
-
-    def hot(batches):
-        for batch in batches:
-            for a, b in zip(batch.column("pairs").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                keys, count = np.cumsum(_unpacked(a)), _unpacked(b)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[count > often]), pa.array(count[count > often])], names=["pair", "n"])
-
-    rows = table.select("pairs", "n").mapInArrow(hot, "pair bigint, n bigint").toArrow()
-    by = np.argsort(rows.column(0).to_numpy())
-    hot_pairs = rows.column(0).to_numpy()[by], rows.column(1).to_numpy()[by]
-    return KatzModel(words=words, counts_of_words=own, log_p1=np.log10(p1), weight=weight, scale=scale, history=history, factors=factors, parts=parts, table=table, counts=counts, n=n, v=v, ends=ends, rare=(rare_tokens, rare_words), hot=hot_pairs)
-
-
-def _log_p(model, size: int, own: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 P(class | history's class) of pairs with their counts, 0 for unseen ones."""
-    log_p1, weight, scale, history, factors = model
-    h, c = own // (size + 1), own % (size + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        unseen = log_p1[c] + np.where(history[h] > 0, np.log10(weight[h]), 0)
-        return np.where(n > 0, np.log10(_discounted(n, factors) * scale[h] / history[h]), unseen)
-
-
-def _count_of(pairs: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Counts of pairs in a sorted table, 0 where it has none."""
-    if not len(keys):
-        return np.zeros(len(pairs), np.int64)
-    at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-    return np.where(keys[at] == pairs, n[at], 0)
-
-
-_SPREAD = "part int, pairs binary, times binary, docs binary, rows binary, chunk bigint"
-
-
-def _spreader(sent, tables, hot, row: str, text: str, parts: int):
-    """For each chunk of texts and part of the pair table: the chunk's pairs, sorted, how many places
-    each has, and in which texts those are; and (parts below 0) what the hot pairs add to each text."""
-
-    def flush(held: list[np.ndarray], rows: list[int], size: int, k: int) -> Iterator[tuple]:
-        keys = np.concatenate(held)
-        doc = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        rows = np.array(rows, np.int64)
-        n = _count_of(keys, *hot.value)
-        if n.any():
-            at = n > 0
-            sums = np.bincount(doc[at], _log_p(tables.value, size, keys[at], n[at]), len(rows))
-            yield -1 - k % parts, b"", b"", sums.astype(np.float64).tobytes(), _packed(rows)
-            keys, doc = keys[~at], doc[~at]
-        by = np.argsort(keys, kind="stable")
-        keys, doc = keys[by], doc[by]
-        part = _parts_of(keys, parts)
-        by = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[by], np.arange(parts + 1)).tolist()
-        for p, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
-            if s < e:
-                own, (of, docs) = keys[by[s:e]], np.unique(doc[by[s:e]], return_inverse=True)
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                yield p, _sorted_packed(own[first]), _packed(np.diff(np.concatenate([first, [len(own)]]))), _packed(docs), _packed(rows[of])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        reader, held, rows, bytes_, chunk = _Reader(sent.value), [], [], 0, TaskContext.get().partitionId() << 32
-
-        def out() -> pa.RecordBatch:
-            nonlocal chunk
-            chunk += 1
-            got = list(zip(*flush(held, rows, reader.size, chunk), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int32()), *[pa.array(x, pa.binary()) for x in got[1:]], pa.array([chunk] * len(got[0]), pa.int64())], names=["part", "pairs", "times", "docs", "rows", "chunk"])
-
-        for batch in batches:
-            for own, data, offsets in slices(batch, text):
-                raw, at = data.tobytes(), offsets.tolist()
-                held += [reader.pairs(tokens(raw[a:b])) for a, b in zip(at, at[1:], strict=False)]
-                rows += own.column(row).to_pylist()
-                bytes_ += len(raw) + 64 * len(at)
-                if bytes_ > CHUNK:
-                    yield out()
-                    held, rows, bytes_ = [], [], 0
-        if held:
-            yield out()
-
-    return spread
-
-
-def _scorer(tables, size: int):
-    """What one part's pairs add to each text."""
-
-    def score_part(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = n = np.zeros(0, np.int64)
-        if right.num_rows:
-            keys, n = np.cumsum(_unpacked(right.column("pairs")[0].as_py())), _unpacked(right.column("n")[0].as_py())
-        chunks, rows_out, sums_out = [], [], []
-        for i in range(left.num_rows):
-            rows = _unpacked(left.column("rows")[i].as_py())
-            if left.column("part")[i].as_py() < 0:
-                total = np.frombuffer(left.column("docs")[i].as_py(), np.float64)
-            else:
-                own, times, docs = (_unpacked(left.column(c)[i].as_py()) for c in ("pairs", "times", "docs"))
-                own = np.cumsum(own)
-                total = np.bincount(docs, np.repeat(_log_p(tables.value, size, own, _count_of(own, keys, n)), times), len(rows))
-            chunks.append(left.column("chunk")[i].as_py())
-            rows_out.append(left.column("rows")[i].as_py())
-            sums_out.append(total.astype(np.float64).tobytes())
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "rows": pa.array(rows_out, pa.binary()), "sums": pa.array(sums_out, pa.binary())})
-
-    return score_part
-
-
-def _gather(table: pa.Table) -> pa.Table:
-    """Sums over all parts for the texts of one chunk."""
-    rows = np.concatenate([_unpacked(x) for x in table.column("rows").to_pylist()])
-    sums = np.concatenate([np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist()])
-    found, at = np.unique(rows, return_inverse=True)
-    return pa.table({"row": pa.array(found), "s": pa.array(np.bincount(at, sums, len(found)))})
-
-
-def score(docs: DataFrame, model: KatzModel, row: str, text: str) -> DataFrame:
-    """(row, n_tokens, n_known, base_score, score) for texts told apart by the bigint ``row``."""
-    spark = docs.sparkSession
-    send = spark.sparkContext.broadcast
-    sent, size = send(model.words), len(model.words) + 2
-    tables, hot = send((model.log_p1, model.weight, model.scale, model.history, model.factors)), send(model.hot)
-    spread = docs.select(row, text).mapInArrow(_spreader(sent, tables, hot, row, text, model.parts), _SPREAD)
-    pairs = spread.groupBy("part").cogroup(model.table.groupBy("part")).applyInArrow(_scorer(tables, size), "chunk bigint, rows binary, sums binary")
-    pairs = pairs.groupBy("chunk").applyInArrow(_gather, "row bigint, s double")
-    counts_sent = send(model.counts_of_words)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = dict(zip(sent.value, np.log10(counts_sent.value + 1.0).tolist(), strict=True))
-        for batch in batches:
-            for own, data, offsets in slices(batch, text):
-                raw, at = data.tobytes(), offsets.tolist()
-                ids = own.column(row).to_pylist()
-                known, sums, count, rare_row, rare_word, rare_n = [], [], [], [], [], []
-                for r, a, b in zip(ids, at, at[1:], strict=False):
-                    found = raw[a:b].lower().split()
-                    top = [logs[w] for w in found if w in logs]
-                    count.append(len(found) + 1)
-                    known.append(len(top))
-                    sums.append(math.fsum(top))
-                    if len(top) < len(found):
-                        rare = Counter(w for w in found if w not in logs)
-                        rare_row += [r] * len(rare)
-                        rare_word += rare
-                        rare_n += rare.values()
-                # A text's own row has a key that is no word and like no other text's.
-                key, none = [b"\n%d" % r for r in ids], len(rare_row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([*ids, *rare_row], pa.int64()), pa.array([*key, *rare_word], pa.binary()), pa.array([*count, *rare_n], pa.int64()), pa.array([*known, *[None] * none], pa.int64()), pa.array([*sums, *[None] * none], pa.float64())],
-                    names=["row", "word", "times", "known", "logs"],
-                )
-
-    found = docs.select(row, text).mapInArrow(words, "row bigint, word binary, times bigint, known bigint, logs double")
-    counts = model.counts.where(F.col("word") != F.lit(END)).withColumnRenamed("n", "c")
-    joined = found.join(counts, "word", "left")
-    c, rare = F.coalesce("c", F.lit(0)), F.col("known").isNull()
-    rare_logs = F.when(rare, F.col("times") * F.log10(c + 1.0)).otherwise(0.0)
-    by_row = joined.groupBy("row").agg(
-        F.sum(F.when(rare, 0).otherwise(F.col("times"))).alias("n_tokens"),
-        F.sum(F.when(rare & (c > 0), F.col("times")).otherwise(F.coalesce("known", F.lit(0)))).alias("n_known"),
-        F.sum(F.coalesce("logs", F.lit(0.0))).alias("logs"),
-        F.sum(rare_logs).alias("rare_logs"),
-        F.sum(F.when(rare, F.col("times")).otherwise(0)).alias("rare_n"),
-    )
-    whole, inside = _LOG10(model.n + model.v + 1), _LOG10(model.rare[0] + model.rare[1] + 1)
-    return by_row.join(pairs, "row").select(
-        F.col("row").alias(row),
-        "n_tokens",
-        (F.col("n_known") + int(model.ends > 0)).alias("n_known"),
-        (F.col("logs") + F.col("rare_logs") + _LOG10(model.ends + 1) - F.col("n_tokens") * whole).alias("base_score"),
-        (F.col("s") + F.col("rare_logs") - F.col("rare_n") * inside).alias("score"),
-    )
-
-
-def katz_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def _scorer(ends: int, hot: np.ndarray, hot_sums: np.ndarray, factors: list[float], whole: int, parts: int):
+    """Scores of one chunk's texts; ``whole`` is what add-one counts add up to."""
+
+    def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk, answers = _chunk_of(left), right.select(["of", "part", "n", "more"]).to_pylist()
+        pairs = _Pairs(chunk, ((a["part"], a["n"], a["more"]) for a in answers if a["of"] == "words"), ends, hot, parts)
+        n, sums = np.zeros(len(pairs.h), np.int64), np.zeros((K + 2, len(pairs.words)), np.int64)
+        edges = np.searchsorted(pairs.part, np.arange(parts + 1))
+        for a in answers:
+            if a["of"] == "pairs":
+                at = pairs.sent[edges[a["part"]] : edges[a["part"] + 1]]
+                n[at] = _unpacked(a["n"])
+                heads = pairs.h[at][_runs(pairs.h[at])]
+                sums[:, heads] = _unpacked(a["more"]).reshape(K + 2, -1)
+        if len(hot):
+            at = np.minimum(np.searchsorted(pairs.words, hot), len(pairs.words) - 1)
+            here = pairs.words[at] == hot
+            sums[:, at[here]] = hot_sums[:, here]
+        lost = sum((1 - d) * k * sums[k - 1] for k, d in enumerate(factors, 1))
+        weight, scale = backoff(pairs.history, pairs.history - lost, sums[-1] / whole)
+        plain = np.log10(pairs.c + 1.0)
+        h, history = pairs.h, np.maximum(pairs.history, 1)
+        with np.errstate(divide="ignore"):
+            unseen = plain[pairs.w] - np.log10(whole) + np.where(pairs.history[h] > 0, np.log10(weight[h]), 0.0)
+            log_p = np.where(n > 0, np.log10(_discounted(n, factors) * scale[h] / history[h]), unseen)
+        doc, docs = np.repeat(np.arange(len(pairs.lens), dtype=np.int32), pairs.lens), len(pairs.lens)
+        return pa.table({
+            "row": pa.array(_unpacked(chunk["rows"])), "n_tokens": pa.array(pairs.lens), "n_known": pa.array(np.bincount(doc, pairs.c[pairs.own] > 0, docs).astype(np.int64)),
+            "base_score": pa.array(np.bincount(doc, plain[pairs.own], docs) - pairs.lens * np.log10(whole)), "score": pa.array(np.bincount(doc, log_p[pairs.at], docs)),
+        })
+
+    return score
+
+
+def _scores(docs: DataFrame, chunk: int = CHUNK, part_tokens: int = PART_TOKENS, hot_over: int = HOT) -> tuple[DataFrame, int]:
+    """(row, n_tokens, n_known, base_score, score) for texts told apart by the bigint ``row``, learning
+    from those with ``train``, and the number of tokens learned from."""
+    chunks = cut(docs.select("row", "text", "train").mapInArrow(_reader("row", "text", "train", chunk), _CHUNK), "chunks")
+    all_, n, ends = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "train_tokens", "train_docs")]).first()
+    parts, often = max(1, -(-all_ // part_tokens)), max(hot_over, n // HOT_WORDS)
+    sent = chunks.select("chunk", "words", "n").mapInArrow(_word_sender(parts), "chunk bigint, part int, words binary, n binary")
+    words = cut(sent.groupBy("part").applyInArrow(_word_counter(often), _ANSWER), "words")
+    common = words.where("chunk = -1")
+    whole = n + common.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0] + 1
+    hot = [x for r in common.where(F.length("more") > 0).select("more").toArrow().column(0).to_pylist() for x in _unpacked(r).tolist()]
+    hot = np.array(sorted(hot + [_hash(START)] * (ends > often)), np.int64)
+    body = chunks.select("chunk", "words", "ids", "rows", "lens", "train")
+    sent = body.groupBy("chunk").cogroup(words.where("chunk >= 0").groupBy("chunk")).applyInArrow(_pair_sender(ends, hot, parts), _PAIRS)
+    pairs = cut(sent.groupBy("part").applyInArrow(_pair_counter(hot), _ANSWER), "pairs")
+    common = pairs.where("chunk = -1").select("n", "more").mapInArrow(_common, "h bigint, " + ", ".join(f"{c} bigint" for c in _SUMS))
+    sums = {r[0]: r[1:] for r in common.groupBy("h").agg(*[F.sum(c) for c in _SUMS]).collect()}
+    factors = discounts(dict(enumerate(sums.get(-1, ())[: K + 1], 1)))
+    hot_sums = np.array([sums.get(x, (0,) * (K + 2)) for x in hot.tolist()], np.int64).reshape(-1, K + 2).T
+    answers = words.union(pairs).where("chunk >= 0")
+    scorer = _scorer(ends, hot, hot_sums, factors, whole, parts)
+    return body.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scorer, "row bigint, n_tokens bigint, n_known bigint, base_score double, score double"), n
+
+
+def katz_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, **sizes: int) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens (long), base_score, score) for every row, learning from the rows
     where ``training`` is true; n_known counts tokens seen there, base_score is the add-one unigram
-    model's log10 probability of the text and score this model's.
+    model's log10 probability of the text and score this model's. ``sizes`` are those of ``_scores``;
+    ``vocabulary``, once a limit on the words with bigrams of their own, is taken and has no effect.
 
     Null and empty texts are one end. An empty training part gives every word its share of nothing seen;
     an empty table gives an empty one. Bigint ids that differ from row to row are used as they are;
@@ -417,7 +362,6 @@ def katz_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
         docs = docs.withColumn("row", F.col("id"))
     else:
         docs = cut(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    model = train(docs.where("train"), "text", vocabulary)
-    found = score(docs, model, "row", "text")
+    found, n = _scores(docs, **sizes)
     named = found if all_ == unlike and kind == "bigint" else found.join(docs.select("row", "id"), "row")
-    return named.select(F.col("row" if named is found else "id").alias(id_col), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    return named.select(F.col("row" if named is found else "id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
