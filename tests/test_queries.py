@@ -22,3 +22,9 @@ def test_against_duckdb(spark, name):
     at = [[c[0] for c in cursor.description].index(c) for c in columns]
     theirs = sorted((tuple(r[i] for i in at) for r in cursor.fetchall()), key=repr)
     assert ours and ours == theirs
+
+
+def test_unpivot_takes_the_whole_table(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert surface.QUERIES["a15_unpivot"](spark, SF).count() == 2 * lines.count()
+    test_against_duckdb(spark, "a15_unpivot")

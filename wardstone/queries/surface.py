@@ -61,7 +61,7 @@ SURFACE: dict[str, str | tuple[str, str]] = {
     "a10_string_agg": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "a11_percentile": ("SELECT l_returnflag, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS med FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS med FROM lineitem GROUP BY l_returnflag"),
     "a15_pivot": ("SELECT * FROM (SELECT o_orderstatus, o_orderpriority FROM orders) PIVOT (count(*) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY o_orderpriority"),
-    "a15_unpivot": ("SELECT l_orderkey, l_linenumber, name, v FROM lineitem UNPIVOT (v FOR name IN (l_discount AS d, l_tax AS t)) WHERE l_orderkey < 500", "SELECT l_orderkey, l_linenumber, 'd' AS name, l_discount AS v FROM lineitem WHERE l_orderkey < 500 UNION ALL SELECT l_orderkey, l_linenumber, 't', l_tax FROM lineitem WHERE l_orderkey < 500"),
+    "a15_unpivot": ("SELECT l_orderkey, l_linenumber, name, v FROM lineitem UNPIVOT (v FOR name IN (l_discount AS d, l_tax AS t))", "SELECT l_orderkey, l_linenumber, 'd' AS name, l_discount AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 't', l_tax FROM lineitem"),
     "w1_named_window": "SELECT c_custkey, rank() OVER w AS r FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)",
     "w2_frames": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s FROM orders",
     "w3_exclude": ("SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey) - 1 AS others FROM customer", "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS others FROM customer"),
