@@ -28,3 +28,9 @@ def test_unpivot_takes_the_whole_table(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert surface.QUERIES["a15_unpivot"](spark, SF).count() == 2 * lines.count()
     test_against_duckdb(spark, "a15_unpivot")
+
+
+def test_cte_shadow_takes_the_whole_table(spark):
+    found = {r.c_custkey for r in governed.QUERIES["g_cte_shadow"](spark, SF).collect()}
+    assert found == {r.c_custkey for r in governed.QUERIES["g_mask_and_filter"](spark, SF).collect()} and max(found) >= 100
+    test_against_duckdb(spark, "g_cte_shadow")

@@ -64,7 +64,7 @@ SECURED: dict[str, tuple[Subject, str, str]] = {
     "g_hash": (ANALYST, "SELECT c_custkey, c_mktsegment FROM customer", f"SELECT c_custkey, sha256(c_mktsegment) AS c_mktsegment FROM {_C}"),
     "g_phone": (ANALYST, "SELECT s_suppkey, s_name FROM supplier", f"SELECT s_suppkey, {_phone('s_name')} AS s_name FROM supplier"),
     "g_join": (ANALYST, "SELECT o_orderkey, c_name, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey", f"SELECT o_orderkey, {_name('c_name')} AS c_name, '***' AS o_orderpriority FROM {_O} JOIN {_C} ON o_custkey = c_custkey"),
-    "g_cte_shadow": (ANALYST, "WITH customer AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey < 100) SELECT * FROM customer", f"SELECT c_custkey, {_name('c_name')} AS c_name FROM {_C} WHERE c_custkey < 100"),
+    "g_cte_shadow": (ANALYST, "WITH customer AS (SELECT c_custkey, c_name FROM customer) SELECT * FROM customer", f"SELECT c_custkey, {_name('c_name')} AS c_name FROM {_C}"),
     "g_self_join": (ANALYST, "SELECT a.c_custkey AS x, b.c_name AS y FROM customer a JOIN customer b ON a.c_custkey + 1 = b.c_custkey", f"SELECT a.c_custkey AS x, {_name('b.c_name')} AS y FROM {_C} a JOIN {_C} b ON a.c_custkey + 1 = b.c_custkey"),
     "g_expression": (ANALYST, "SELECT c_custkey, upper(c_name) || '-' || c_custkey AS tag FROM customer", f"SELECT c_custkey, {_name('tag')} AS tag FROM (SELECT c_custkey, upper(c_name) || '-' || c_custkey AS tag FROM {_C})"),
     "g_aggregate_is_masked": (ANALYST, "SELECT c_nationkey, count(c_name) AS n FROM customer GROUP BY c_nationkey", f"SELECT c_nationkey, {_name('n')} AS n FROM (SELECT c_nationkey, count(c_name)::VARCHAR AS n FROM {_C} GROUP BY 1)"),
