@@ -247,6 +247,21 @@ def test_html():
     assert html_text.render("") == "" and html_text.render("plain   text") == "plain text" and html_text.render("<div>" * 3000 + "x") == "x"
 
 
+@pytest.mark.parametrize("attributes", ['title="The hidden cost of x"', 'class="menu hidden large"', 'data-style="display:none"', "aria-hidden=true", 'aria-hidden="true"', 'data-type="hidden"', "title='style=\"display:none\"'", 'style="display:none;display:block"', 'style="background:url(a;display:none;b)"', "type=hidden", 'style="--display:none"'])
+def test_html_shows(attributes):
+    assert html_text.render(f"a<div {attributes}>b<p>c</p></div>d") == "a\nb\n\nc\n\nd"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN", 'class=x hidden=""', "hidden/", 'style="color:red; DISPLAY : None"', "style='visibility:hidden'", "style=display:none", 'style="display:none!important;display:block"', 'style="/* a; */display&#58;none"'])
+def test_html_hides(attributes):
+    assert html_text.render(f"a<div {attributes}>b<p>c</p></div>d").replace("\n", "") == "ad"
+
+
+def test_html_numbers_by_name():
+    assert html_text.render('<ol data-start=7 title="start=5"><li>a</ol>') == "1. a" and html_text.render("<ol start='4'><li>a</ol>") == "4. a"
+    assert html_text.render('<table><tr><td data-colspan=2>a<td>b<tr><td colspan="2">c<td>d</table>') == "a  b\nc     d"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, 5), (1, "", 5), (2, "<p>x", 5)], "page_id long, html string, text int")
     assert [r.text for r in html_text.extract_text(df).collect()] == ["", "", "x"]

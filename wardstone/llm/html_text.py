@@ -42,12 +42,40 @@ IMPLIED = {
 }
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
-_INVISIBLE = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*[\"']?hidden", re.I)
-_START = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I)
-_SPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S*)))?")
+_MAY_HIDE = re.compile("hidden|style", re.I)
+#: Where a style's colons and semicolons part nothing.
+_OPAQUE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^()]*\)", re.S)
+_START = re.compile(r"\s*(-?\d{1,9})")
+_SPAN = re.compile(r"\s*(\d{1,3})")
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Names, in lower case, and values; of equal names the first."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), html.unescape("".join(values)))
+    return found
+
+
+def _invisible(tag: str, attributes: str) -> bool:
+    """By the hidden attribute, style's display and visibility, or as a hidden input. What aria-hidden
+    keeps from screen readers is visible."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    found = _attributes(attributes)
+    if "hidden" in found or (tag == "input" and found.get("type", "").strip().lower() == "hidden"):
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for part in _OPAQUE.sub("", found.get("style", "")).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, important, _ = value.partition("!")
+        if important or not style.get(name.strip(), (False,))[0]:
+            style[name.strip()] = bool(important), value.strip()
+    return style.get("display", (0, ""))[1] == "none" or style.get("visibility", (0, ""))[1] == "hidden"
+
+
 class _Flow:
     """Lines of one block flow: the page, or a table cell."""
 
@@ -112,7 +140,7 @@ class Renderer:
 
     def open(self, tag: str, attributes: str) -> bool:
         """False if the element is invisible with all that it holds."""
-        if self.hidden or tag in HIDDEN or (attributes and _INVISIBLE.search(attributes)):
+        if self.hidden or tag in HIDDEN or (attributes and _invisible(tag, attributes)):
             self.hidden += tag not in VOID
             return False
         flow = self.flows[-1]
@@ -122,7 +150,7 @@ class Renderer:
             flow.end()
             flow.gap |= tag in SPACED and not (tag in ("ul", "ol") and self.lists)
         if tag in ("ul", "ol", "menu", "dir"):
-            m = _START.search(attributes)
+            m = _START.match(_attributes(attributes).get("start", "")) if attributes else None
             self.lists.append([tag == "ol", int(m[1]) if m else 1])
         elif tag == "li":
             numbered, n = self.lists[-1] if self.lists else (False, 1)
@@ -137,7 +165,7 @@ class Renderer:
             self.tables[-1].rows.append([])
         elif tag in ("td", "th", "caption") and self.tables:
             self.flows.append(_Flow())
-            self.held.append([self.lists, _SPAN.search(attributes)])
+            self.held.append([self.lists, _SPAN.match(_attributes(attributes).get("colspan", "")) if attributes else None])
             self.lists = []
         return True
 
