@@ -167,6 +167,14 @@ def test_simhash(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_simhash_dedup_without_keys(spark):
+    a, b, c, d, e = (words(k, 50, 900) for k in range(50, 55))
+    rows = [(None, a), (None, b), (None, a), (5, c), (5, d), (7, e), (None, e), (6, e), (5, c)]
+    kept = simhash.simhash_dedup(table(spark, [t for _, t in rows], [i for i, _ in rows]))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, a), (None, b), (5, c), (5, d), (6, e)], key=repr)
+    assert kept.columns == table(spark, []).columns
+
+
 def test_fingerprint_bits():
     import xxhash
 

@@ -214,8 +214,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, reach: int = REACH) -> DataFrame:
     """``df`` with one row of each group of near copies: that of the smallest id (rows with a null id
-    stay only where their group has no other id; of rows with equal ids one stays)."""
-    found = near_duplicates(df.select(id_col, text_col), id_col, text_col, size, reach)
-    key, n = fresh(df, "keep_id", "copies")
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key)).distinct()
-    return df.join(keep, F.col(id_col).eqNullSafe(F.col(key)), "left_semi").dropDuplicates([id_col])
+    stay only where their group has no other id; of rows with equal ids in a group one stays).
+
+    Where ids are null or repeated, rows are numbered in a table written first and told by that."""
+    key, row, best = fresh(df, "keep_id", "row_number", "best_row")
+    all_, unlike = df.agg(F.count("*"), F.count_distinct(id_col)).first()
+    if all_ == unlike:
+        found = near_duplicates(df.select(id_col, text_col), id_col, text_col, size, reach)
+        keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key))
+        return df.join(keep, F.col(id_col) == F.col(key), "left_semi")
+    rows = cut(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(row, text_col), row, text_col, size, reach).select(row, "component_id")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row).alias(best))
+    keep = found.join(rows.select(row, id_col), row).groupBy("component_id").agg(F.min(order)[best].alias(key))
+    return rows.join(keep, F.col(row) == F.col(key), "left_semi").drop(row)
