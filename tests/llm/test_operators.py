@@ -63,6 +63,14 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert suffix_dedup.suffix_dedup(table(spark, [])).count() == 0
 
 
+def test_suffix_dedup_without_keys(spark):
+    base = words(1, 120)
+    own = [words(k, 200, 9000) for k in range(60, 63)]
+    rows = [(None, base), (None, own[0]), (1, "pre " + base), (1, own[1]), (2, own[2])]
+    found = suffix_dedup.suffix_dedup(table(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted(((r.doc_id, bytes(r.kept)) for r in found), key=repr) == sorted([(None, b""), (None, own[0].encode()), (1, b"pre "), (1, own[1].encode()), (2, own[2].encode())], key=repr)
+
+
 def test_katz(spark):
     texts = [words(k, 60, 30) for k in range(12)] + ["", None, "new words only"]
     df = table(spark, texts)

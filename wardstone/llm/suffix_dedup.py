@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstone.llm._arrow import slices
-from wardstone.llm._store import cut, without
+from wardstone.llm._store import cut, fresh, without
 from wardstone.llm.induced_sort import common_prefixes, suffix_array
 
 SPAN = 200
@@ -324,14 +324,19 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A byte goes if a string of ``span`` bytes that covers it starts anywhere else as well, in the same
     row or another; all are judged on the input. Cutting may split a character, so kept is binary.
 
-    Null and empty texts, and texts shorter than ``span``, lose nothing. ``id_col`` (string, int or
-    bigint) should tell rows apart: repeated rows of one text are all removed, being copies, and rows
-    with equal ids but other texts share their runs, which are then checked against each text's length;
-    rows with a null id share theirs too. Columns with an added name are replaced, others pass.
+    Null and empty texts, and texts shorter than ``span``, lose nothing. Repeated rows of one text are
+    all removed, being copies. Ids (string, int or bigint) that differ from row to row tell rows apart;
+    otherwise (null, repeated) rows are numbered in a table written first. Columns with an added name are
+    replaced, others pass.
     """
     base = without(df, "kept", "n_bytes", "n_removed", "n_spans", "_doc", "_runs")
-    runs = covered_runs(base, id_col, text_col, span).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("a", "b")).alias("_runs"))
-    joined = base.join(runs, F.col(id_col).eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    keyed, key = base, id_col
+    all_, unlike = base.agg(F.count("*"), F.count_distinct(id_col)).first()
+    if all_ != unlike:
+        (key,) = fresh(base, "row_number")
+        keyed = cut(base.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    runs = covered_runs(keyed, key, text_col, span).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("a", "b")).alias("_runs"))
+    joined = keyed.join(runs, F.col(key) == F.col("_doc"), "left").drop("_doc")
     schema = base.select("*", F.lit(b"").alias("kept"), *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")]).schema
 
     names = base.columns
