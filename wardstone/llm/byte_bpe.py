@@ -1,36 +1,42 @@
 """Byte-level BPE by Spark higher-order functions.
 
-Ranks and words live as strings of the characters U+0000 to U+00FF, one for each byte, so that pieces
-concatenate and compare as bytes do. The rank map is a literal in the plan, dealt into small maps by a
-hash, as Spark looks through a map from its start. A word is a list of byte pieces, and the fold merges
-the leftmost pair of lowest rank as often as the word has bytes, less one; ranks of pairs are kept
-beside the pieces, and a merge looks up only the two new ones.
+The rank map is a literal in the plan: a sparse table from the ids of two neighbouring pieces to the rank of
+what they make, which is also its id. A word is an array with one number for each piece, made of the rank of the pair
+that begins there, the piece's place, and its id. The least number is thus the leftmost pair of lowest rank;
+each step of the fold merges it and looks up the two pairs that are new.
 
 Every distinct word whose count reaches a threshold is folded once, and its ids are sent to the tasks;
-the threshold is the lowest at which these words number at most FREQUENT, so what is sent is bounded
-whatever the corpus. All other words are folded in the row of their document, each distinct word once.
-No text and no token is shuffled, only counts of words.
+the threshold is the lowest at which these words number at most FREQUENT and take at most FREQUENT_BYTES,
+so what is sent is bounded whatever the corpus. Tasks look words up batch by batch (Arrow's hash index, no
+dictionary of Python objects); all other words are folded in the row of their document. A fold copies the
+word's pieces at each step, so words over LONG bytes are merged beside the look-up with a heap instead.
+No text and no token is shuffled, only counts of words. Decoding concatenates the pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardstone.llm._store import cut, without
+from wardstone.llm._store import cut, drop_cut, fresh, without
 
-#: Most words whose ids are sent to the tasks: 32 MB at the most, some 100 MB as a dictionary in each worker.
-FREQUENT = 1 << 19
-#: Longest word, in bytes, among those.
-FREQUENT_BYTES = 32
-NO_RANK = (1 << 31) - 1
+#: Most words whose ids are sent to the tasks, and most bytes that they take.
+FREQUENT, FREQUENT_BYTES = 1 << 20, 16 << 20
+#: Longest word, in bytes, that is folded.
+LONG = 255
+#: Words looked up at once in a task.
+AT_ONCE = 1 << 21
+#: Bits for a place and for an id. All ones: no rank.
+BITS = 20
+NONE = (1 << BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,70 +49,101 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def _mix(c: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-
-
-def _dealt(entries: dict[str, object], kind: str) -> tuple[Column, int]:
-    """A literal array of maps, and their number."""
-    parts = 1
-    while parts < len(entries) // 2:
-        parts *= 2
-    maps: list[dict[str, object]] = [{} for _ in range(parts)]
-    for key, value in entries.items():
-        hashed = xxhash.xxh64_intdigest(key.encode(), 42)
-        maps[(hashed - (hashed >> 63 << 64)) % parts][key] = value
-    return F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>"), parts
-
-
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value worked out once; a literal so bound stands in the plan once."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _rows(pairs: dict[tuple[int, int], int], size: int) -> tuple[list[int], list[int | None]]:
+    """A sparse table in one array: the pair (a, b) stands at place offset of a, plus b, as a and the rank in
+    one number. Rows are laid over each other, the fullest first, wherever their entries fall on free places."""
+    rows: dict[int, list[int]] = {}
+    for a, b in pairs:
+        rows.setdefault(a, []).append(b)
+    rng, offsets, room = np.random.default_rng(0), [0] * size, 4 * len(pairs) + 64
+    taken = np.zeros(room + size, bool)
+    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        own = np.array(row)
+        while True:
+            tries = rng.integers(0, room, 1 + 512 // len(own))
+            free = np.flatnonzero(~taken[tries[:, None] + own].any(1))
+            if len(free):
+                break
+        offsets[a] = int(tries[free[0]])
+        taken[offsets[a] + own] = True
+    table: list[int | None] = [None] * len(taken)
+    for (a, b), rank in pairs.items():
+        table[offsets[a] + b] = a << BITS | rank
+    return offsets, table
+
+
 class Codec:
-    """Encoder of one rank table, and its tokens by id."""
+    """Encoder and decoder of one rank table in which every byte has a rank and ranks count from 0."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        assert sorted(ranks.values()) == list(range(len(ranks)))
-        self.ranks, self.parts = _dealt({t.decode("latin-1"): r for t, r in ranks.items()}, "int")
+        assert sorted(ranks.values()) == list(range(len(ranks))) and len(ranks) < NONE - 2
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        #: Stands before and after a word; pairs with it have no rank.
+        self.edge = len(ranks)
+        offsets, table = _rows(pairs, len(ranks) + 1)
+        self.offsets, self.table, self.first = _literal(offsets, "int"), _literal(table, "bigint"), _literal([ranks[bytes([b])] for b in range(256)], "int")
 
     def encode_all(self, words: Column) -> Column:
-        """Ids of each of an array of words given as bytes in characters; empty: none."""
-        return bound(self.ranks, lambda ranks: F.transform(words, lambda w: self._encode(ranks, w)))
+        """Ids of each of an array of words, by merging alone."""
+        return bound(self.table, lambda table: bound(self.offsets, lambda offsets: bound(self.first, lambda first: F.transform(words, lambda w: self._fold(table, offsets, first, w)))))
+
+    def _fold(self, table: Column, offsets: Column, first: Column, word: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            """Of two ids; an entry of another row differs in its upper bits, so it comes out as NONE or more."""
+            return F.least(F.get(table, F.get(offsets, a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), BITS)), F.lit(NONE))
 
-    def _encode(self, ranks: Column, word: Column) -> Column:
-        def rank(piece: Column) -> Column:
-            return F.coalesce(F.get(ranks, _mix(piece, self.parts))[piece], F.lit(NO_RANK))
+        def entry(rank: Column, place: Column, piece: Column) -> Column:
+            return F.shiftleft(F.shiftleft(rank, BITS).bitwiseOR(place), BITS).bitwiseOR(piece)
 
-        def of(c: Column) -> Column:
-            return F.when(c.isNull(), none).otherwise(F.array(rank(c)))
+        def piece(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(NONE)).cast("int")
 
-        none = F.array().cast("array<int>")
+        def place(x: Column) -> Column:
+            return F.shiftright(x, BITS).bitwiseAND(F.lit(NONE))
 
-        def merged(state: Column, at: Column, new: Column) -> Column:
-            """at: place of the pair's first piece, from 1."""
-            p, r = state["p"], state["r"]
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), of(F.concat(F.get(p, at - 2), new)), of(F.concat(new, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r))).alias("r"),
-            )
+        def merged(state: Column, low: Column, made: Column, at: Column) -> Column:
+            """at: place of the pair in the array, from 1; edges stand before the first and after the last piece."""
+            before = F.get(state, at - 2)
+            own = entry(rank(made, piece(F.get(state, at + 1))), place(low), made)
+            pair = bound(piece(before), lambda p: entry(rank(p, made), place(before), p))
+            return F.concat(F.slice(state, F.lit(1), at - 2), F.array(pair, own), F.slice(state, at + 2, F.lit(1 << BITS)))
 
         def step(state: Column, _: Column) -> Column:
-            lowest = F.array_min(state["r"])
-            place = F.array_position(state["r"], lowest).cast("int")
-            return F.when(
-                F.coalesce(lowest, F.lit(NO_RANK)) < NO_RANK,
-                bound(place, lambda at: merged(state, at, F.concat(F.get(state["p"], at - 1), F.get(state["p"], at)))),
-            ).otherwise(state)
+            def some(low: Column) -> Column:
+                made = F.shiftright(low, 2 * BITS).cast("int")
+                return bound(F.array_position(state, low).cast("int"), lambda at: bound(made, lambda m: merged(state, low, m, at)))
+
+            return bound(F.array_min(state), lambda low: F.when(low < NONE << 2 * BITS, some(low)).otherwise(state))
 
         def fold(pieces: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: rank(F.concat(F.get(pieces, i), F.get(pieces, i + 1))))
-            return F.aggregate(F.sequence(F.lit(2), F.size(pieces)), F.struct(pieces.alias("p"), pairs.alias("r")), step, lambda s: F.transform(s["p"], rank))
+            start = F.transform(pieces, lambda p, i: entry(rank(p, F.get(pieces, i + 1)), i, p))
+            return F.aggregate(F.slice(pieces, 4, LONG), start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), piece))
+
+        edge = F.array(F.lit(self.edge))
+        return bound(F.concat(edge, F.transform(F.split(as_bytes(word), ""), lambda c: F.get(first, F.ascii(c))), edge), fold)
+
+    def decode(self, ids: Column) -> Column:
+        """The pieces of an array of ids end to end."""
+        return self._spelled(ids, [t.decode("latin-1") for t in self.tokens])
+
+    def pack(self, ids: Column) -> Column:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return self._spelled(ids, [i.to_bytes(4, "little").decode("latin-1") for i in range(len(self.tokens))])
 
-        whole = bound(rank(word), lambda r: F.when(r < NO_RANK, F.array(r)))
-        return F.when(word == "", none).otherwise(F.coalesce(whole, bound(F.split(word, ""), fold)))
+    @staticmethod
+    def _spelled(ids: Column, pieces: list[str]) -> Column:
+        joined = bound(_literal(pieces, "string"), lambda all_: F.array_join(F.transform(ids, lambda i: F.get(all_, i)), ""))
+        return F.encode(joined, "ISO-8859-1")
 
 
 def as_bytes(text: Column) -> Column:
@@ -120,110 +157,130 @@ def byte_bpe(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
     Each match of ``pattern`` is encoded by itself, without special tokens. Null and empty texts give
     no ids and no bytes. Rows are encoded one by one, so repeated rows give repeated rows; an empty
-    table gives an empty one. A word longer than FREQUENT_BYTES is never among the words sent to the
-    tasks but encoded in its row; the fold over a word of n bytes copies n pieces n times. Columns named
-    ids, packed or decoded are replaced, others pass.
+    table gives an empty one. Words of any length give the same ids either way. Columns named ids, packed
+    or decoded are replaced, all others pass.
     """
-    base = without(df, "ids", "packed", "decoded", "_words", "_ids", "_rare")
+    base = without(df, "ids", "packed", "decoded")
     keep = [F.col(f"`{c}`") for c in base.columns]
+    found, folded = fresh(base, "_found", "_folded")
     codec = Codec(ranks)
     split = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    counts = base.select(F.explode(split).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts = cut(counts.where(F.octet_length("word") <= FREQUENT_BYTES).where("n > 1"), "words")
-    least, total = 2, 0
-    for n, words in counts.groupBy(F.least(F.col("n"), F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
-        total += words
-        if total > frequent:
-            least = n + 1
-            total -= words
+    sent = df.sparkSession.sparkContext.broadcast({"tokens": codec.tokens, "parts": _frequent_words(base.select(F.explode(split).alias("word")), codec, frequent)})
+    look_up = F.arrow_udf(_look_up(sent), "segments array<array<int>>, rare array<string>")
+    step = base.select(*keep, look_up(split).alias(found))
+    step = step.withColumn(folded, codec.encode_all(F.col(found)["rare"]))
+    none = F.array().cast("array<int>")
+    ids = bound(F.col(folded), lambda own: F.flatten(F.transform(F.col(found)["segments"], lambda s, i: F.concat(s, F.coalesce(F.get(own, i), none)))))
+    step = step.select(*keep, ids.alias("ids"))
+    return step.select(*keep, "ids", codec.pack(F.col("ids")).alias("packed"), codec.decode(F.col("ids")).alias("decoded"))
+
+
+def _frequent_words(words: DataFrame, codec: Codec, most: int) -> list[tuple]:
+    """The most frequent words that occur twice or more, with their ids, as buffers."""
+    size = F.octet_length("word")
+    counts = cut(words.where(size <= LONG).groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
+    least = number = total = 0
+    for n, k, b in counts.groupBy(F.least(F.col("n"), F.lit(1 << 16)).alias("n")).agg(F.count("*"), F.sum(size)).orderBy(F.desc("n")).collect():
+        if number + k > most or total + b > FREQUENT_BYTES:
             break
-    known = counts.where(F.col("n") >= least).select("word").repartition(32)
-    known = known.select("word", F.get(codec.encode_all(F.array(as_bytes(F.col("word")))), 0).alias("ids")) if total else None
-    packed = [tuple(r) for r in known.mapInArrow(_pack, "words binary, ends binary, ids binary, id_ends binary").collect()] if total else []
-    send = df.sparkSession.sparkContext.broadcast
-    sent, tokens = send({"parts": packed}), send(codec.tokens)
-    step = base.select(*keep, split.alias("_words"))
-    schema = base.select(*keep, F.array().cast("array<int>").alias("_ids"), F.array().cast("array<string>").alias("_rare")).schema
-    step = step.mapInArrow(_look_up(sent, base.columns), schema)
-    step = step.select(*keep, "_ids", codec.encode_all(F.transform("_rare", as_bytes)).alias("_rare"))
-    schema = base.select(*keep, F.array().cast("array<int>").alias("ids"), F.lit(b"").alias("packed"), F.lit(b"").alias("decoded")).schema
-    return step.mapInArrow(_spell(tokens, base.columns), schema)
+        least, number, total = n, number + k, total + b
+    out = []
+    if number:
+        known = counts.where(F.col("n") >= least).select("word").repartition(32).select("word", F.get(codec.encode_all(F.array("word")), 0).alias("ids"))
+        out = [tuple(r) for r in known.mapInArrow(_pack, "words binary, sizes binary, ids binary, id_sizes binary").collect()]
+    drop_cut(counts)
+    return out
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and ids of a partition as four buffers."""
+    """Words and ids of a batch as buffers; a word has at most LONG bytes and so as many ids."""
     for batch in batches:
-        words = [w.encode() for w in batch.column("word").to_pylist()]
-        ids = batch.column("ids").to_pylist()
-        ends = np.cumsum([len(w) for w in words], dtype=np.int32).tobytes()
-        id_ends = np.cumsum([len(x) for x in ids], dtype=np.int32).tobytes()
-        flat = np.array([i for x in ids for i in x], np.int32).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (b"".join(words), ends, flat, id_ends)], names=["words", "ends", "ids", "id_ends"])
-
-
-def _look_up(sent, keep: list[str]):
-    """Ids of the words of each row, -1 - k for the k-th of the row's words that were not sent."""
-
-    def unpacked() -> dict[bytes, bytes]:
-        table: dict[bytes, bytes] = {}
-        for words, ends, ids, id_ends in sent.value["parts"]:
-            a = np.concatenate([[0], np.frombuffer(ends, np.int32)]).tolist()
-            b = (4 * np.concatenate([[0], np.frombuffer(id_ends, np.int32)])).tolist()
-            table.update(zip((words[i:j] for i, j in zip(a, a[1:], strict=False)), (ids[i:j] for i, j in zip(b, b[1:], strict=False)), strict=True))
-        return table
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "table" not in sent.value:  # workers, and what was sent to them, outlive tasks
-            sent.value["table"] = unpacked()
-        table = sent.value["table"]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids, ends, rares = [], [0], []
-                for row in batch.column("_words"):
-                    words = row.values.cast(pa.binary()).to_pylist()
-                    found = list(map(table.get, words))
-                    rare: dict[bytes, bytes] = {}
-                    if None in found:
-                        for k, x in enumerate(found):
-                            if x is None:
-                                found[k] = rare.setdefault(words[k], (-1 - len(rare)).to_bytes(4, "little", signed=True))
-                    own = b"".join(found)
-                    ids.append(own)
-                    ends.append(ends[-1] + len(own) // 4)
-                    rares.append([w.decode() for w in rare])
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                columns = [*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(rares, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_ids", "_rare"])
-
+        words, ids = batch.column("word").cast(pa.binary()), batch.column("ids")
+        sizes = [np.asarray(pc.fill_null(n, 0)).astype(np.uint8).tobytes() for n in (pc.binary_length(words), pc.list_value_length(ids))]
+        parts = (b"".join(words.to_pylist()), sizes[0], np.asarray(ids.flatten()).astype(np.int32).tobytes(), sizes[1])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["words", "sizes", "ids", "id_sizes"])
+
+
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word of any length: neighbouring pieces stand in a list, pairs wait in a heap."""
+    pieces: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+    heap = [(r, i, 2) for i in range(len(word) - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i]
+        if pieces[i] is None or j >= len(word) or len(pieces[i]) + len(pieces[j]) != size:
+            continue  # one of the two has been merged since
+        pieces[i], pieces[j], after[i] = pieces[i] + pieces[j], None, after[j]
+        if after[i] < len(word):
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < len(word) and (r := ranks.get(pair := pieces[a] + pieces[b])) is not None:
+                heapq.heappush(heap, (r, a, len(pair)))
+    return [ranks[p] for p in pieces if p is not None]
+
+
+class _Known:
+    """What was sent, laid out for looking up: tokens first, as a word that is a token is that token."""
+
+    def __init__(self, value: dict):
+        tokens, parts = value["tokens"], value["parts"]
+        data = b"".join([*tokens, *[p[0] for p in parts]])
+        sizes = np.concatenate([[len(t) for t in tokens], *[np.frombuffer(p[1], np.uint8) for p in parts]])
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        self.words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+        self.ids = np.concatenate([np.arange(len(tokens), dtype=np.int32), *[np.frombuffer(p[2], np.int32) for p in parts]])
+        self.sizes = np.concatenate([np.ones(len(tokens), np.uint8), *[np.frombuffer(p[3], np.uint8) for p in parts]]).astype(np.int32)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        self.ranks: dict[bytes, int] = {}
+
+    def long(self, words: list[bytes], tokens: list[bytes]) -> list[list[int]]:
+        self.ranks = self.ranks or {t: i for i, t in enumerate(tokens)}
+        return [merge(w, self.ranks) for w in words]
+
+
+def _look_up(sent) -> Callable[[pa.Array], pa.Array]:
+    """For each row the ids between its words that were not sent, and these words."""
+
+    def some(known: _Known, words: pa.Array, ends: np.ndarray) -> pa.Array:
+        """words: of all rows end to end; ends: where each row ends."""
+        at = pc.index_in(words, value_set=known.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        ids, starts, sizes = known.ids, known.starts, known.sizes
+        missing = np.flatnonzero(at < 0)
+        long = missing[pc.binary_length(words.take(missing)).to_numpy(zero_copy_only=False) > LONG]
+        if len(long):
+            made = known.long(words.take(long).to_pylist(), sent.value["tokens"])
+            own = np.array([len(m) for m in made])
+            at = at.copy()
+            at[long] = len(sizes) + np.arange(len(long))
+            starts, sizes = np.concatenate([starts, len(ids) + np.cumsum(own) - own]), np.concatenate([sizes, own])
+            ids = np.concatenate([ids, np.array([i for m in made for i in m], np.int32)])
+        gaps = np.flatnonzero(at < 0)
+        size = np.where(at < 0, 0, sizes[at])
+        end = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[np.arange(end[-1]) - np.repeat(end[:-1] - starts[at], size)]
+        before = np.searchsorted(gaps, ends)  # missing words up to each row's end
+        cuts = np.zeros(len(gaps) + len(ends) + 1, np.int32)
+        cuts[1 + before + np.arange(len(ends))] = end[ends]
+        cuts[1 + np.arange(len(gaps)) + np.searchsorted(ends, gaps, "right")] = end[gaps]
+        inner = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))
+        outer = np.concatenate([[0], before + np.arange(1, len(ends) + 1)]).astype(np.int32)
+        rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], before]).astype(np.int32)), words.take(gaps).cast(pa.string()))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(outer), inner), rare], names=["segments", "rare"])
+
+    def look_up(rows: pa.Array) -> pa.Array:
+        if "known" not in sent.value:  # workers, and what was sent to them, outlive tasks
+            sent.value["known"] = _Known(sent.value)
+            sent.value["parts"] = None
+        words = rows.flatten().cast(pa.binary())
+        ends = np.cumsum(pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64))
+        out, row, word = [], 0, 0
+        while row < len(rows):
+            last = max(row + 1, int(np.searchsorted(ends, word + AT_ONCE, "right")))
+            out.append(some(sent.value["known"], words.slice(word, ends[last - 1] - word), ends[row:last] - word))
+            row, word = last, int(ends[last - 1])
+        return pa.concat_arrays(out)
+
+    look_up.__annotations__ = {"rows": pa.Array, "return": pa.Array}
     return look_up
-
-
-def _spell(tokens, keep: list[str]):
-    """Ids of rare words put in their places, and the bytes of all ids."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = tokens.value.__getitem__
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out, ends, packed, decoded = [], [0], [], []
-                for own, rare in zip(batch.column("_ids"), batch.column("_rare"), strict=True):
-                    ids = own.values.to_numpy()
-                    gaps = np.flatnonzero(ids < 0)
-                    if len(gaps):
-                        words = [np.array(w, np.int32) for w in rare.as_py()]
-                        parts, last = [], 0
-                        for g, k in zip(gaps.tolist(), (-1 - ids[gaps]).tolist(), strict=True):
-                            parts += [ids[last:g], words[k]]
-                            last = g + 1
-                        ids = np.concatenate([*parts, ids[last:]])
-                    out.append(ids)
-                    ends.append(ends[-1] + len(ids))
-                    packed.append(ids.astype("<u4").tobytes())
-                    decoded.append(b"".join(map(piece, ids.tolist())))
-                values = pa.array(np.concatenate([np.zeros(0, np.int32), *out]).astype(np.int32))
-                columns = [*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "packed", "decoded"])
-
-    return spell
