@@ -115,3 +115,103 @@ def test_grants_and_functions(spark):
     a, b = Signature("f", ("string", "int")), Signature("f", ("varchar", "int"))
     assert resolve([a, b], "f", "varchar", (1,)) == b
     assert resync({a}, {b}) == {"added": set(), "missing": set(), "changed": {b}}
+
+
+@pytest.fixture
+def store(spark):
+    """Catalog tables and a second schema, gone afterwards."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS db2")
+    yield spark
+    for t in ("copied", "sink", "db2.copied", "default.cp2", "db2.cp2"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    spark.sql("DROP DATABASE IF EXISTS db2 CASCADE")
+
+
+@pytest.mark.parametrize("sql", ["FROM customer INSERT INTO sink SELECT id, email", "FROM customer INSERT INTO sink SELECT id, email INSERT INTO sink SELECT id, phone", "WITH c AS (SELECT * FROM customer) INSERT INTO sink SELECT id, email FROM c", "FROM customer INSERT OVERWRITE DIRECTORY '/tmp/wardstone-dir' USING parquet SELECT email", "(FROM customer INSERT INTO sink SELECT id, email)"])
+def test_hidden_writes_are_refused_and_write_nothing(g, store, sql):
+    store.sql("CREATE TABLE sink (id LONG, email STRING) USING parquet")
+    for way in (g.plan, g.secure_sql, g.run):
+        with pytest.raises(GovernanceError) as e:
+            way(ANN, sql)
+        assert e.value.code in (Code.UNSUPPORTED_STATEMENT, Code.PARSE_ERROR)
+    store.catalog.refreshTable("sink")
+    assert store.table("sink").count() == 0
+
+
+def test_copies_keep_all_policies(spark, store):
+    customer = spark.createDataFrame([(1, "a@x.org")], "id long, email string")
+    g = Governance(spark, {"customer": customer}, load_policies("""
+policies:
+- {name: staff, priority: 5, resources: [{table: customer, column: email, inheritOnCopy: true}], dataMaskItems: [{groups: [staff], udf: mask_text}]}
+- {name: all, resources: [{table: customer, column: email}], dataMaskItems: [{groups: ['*'], udf: mask_email}]}
+"""))
+    staff = Subject("sy", frozenset({"staff"}))
+    g.run(ANN, "CREATE TABLE copied AS SELECT id, email FROM customer")
+    seen = lambda who, t: g.secure_sql(who, f"SELECT email FROM {t}").first()[0]
+    assert (seen(ANN, "copied"), seen(staff, "copied")) == ("a***@x.org", "***") == (seen(ANN, "customer"), seen(staff, "customer"))
+    g.run(staff, "INSERT INTO copied (EMAIL, ID) SELECT email, id + 1 FROM customer")
+    assert sorted(map(tuple, spark.table("copied").collect())) == [(1, "a@x.org"), (2, "a@x.org")]
+    g.run(ANN, "CREATE TABLE db2.copied AS SELECT id, email FROM customer")
+    assert spark.table("db2.copied").first().email == "a@x.org" and seen(ANN, "db2.copied") == "a***@x.org"
+    g.run(ANN, "INSERT INTO db2.copied SELECT id + 5, email FROM default.copied WHERE id = 1")
+    assert spark.table("db2.copied").count() == 2 and spark.table("default.copied").count() == 2
+    with pytest.raises(GovernanceError) as e:
+        g.plan(ANN, "SELECT email FROM copied")
+    assert e.value.code is Code.VALIDATION_ERROR and "several" in str(e.value)
+    with pytest.raises(GovernanceError):
+        g.run(ANN, "INSERT INTO default.copied (id, nope) SELECT 1, 2")
+
+
+def test_registration_comes_before_writing(spark, store):
+    g = Governance(spark, {"customer": spark.createDataFrame([(1, "a@x.org")], "id long, email string")}, load_policies("""
+policies:
+- {name: e, resources: [{table: customer, column: email, inheritOnCopy: true}], dataMaskItems: [{groups: ['*'], udf: mask_email}]}
+- {name: own, enabled: true, resources: [{table: '*', column: 'em*'}], dataMaskItems: [{users: [zed], udf: mask_text}]}
+"""))
+    with pytest.raises(GovernanceError) as e:
+        g.run(ANN, "CREATE TABLE default.cp2 AS SELECT id, email FROM customer")
+    assert e.value.code is Code.CONFIG_ERROR and not spark.catalog.tableExists("default.cp2")
+
+
+def test_names_of_two_and_three_parts(spark):
+    a = spark.createDataFrame([(1, "ann")], "id long, name string")
+    b = spark.createDataFrame([(1, "bob"), (2, "cy")], "id long, name string")
+    g = Governance(spark, {"crm.public.customer": a, "crm.other.customer": b, "crm.public.orders": b.withColumnRenamed("name", "note")}, load_policies("""
+policies:
+- {name: n, resources: [{schema: public, table: customer, column: name}], dataMaskItems: [{groups: ['*'], udf: mask_text}]}
+- {name: f, resources: [{schema: other, table: customer}], rowFilterItems: [{groups: ['*'], condition: 'id > 1'}]}
+"""), "crm", "public")
+    rows = lambda sql: sorted(map(tuple, g.secure_sql(ANN, sql).collect()))
+    assert rows("SELECT id, name FROM crm.public.customer") == rows("SELECT customer.id, name FROM public.customer WHERE customer.id = 1") == [(1, "***")]
+    assert rows("SELECT crm.public.customer.name FROM crm.public.customer") == [("***",)]
+    assert rows("SELECT c.name FROM other.customer c, `crm`.`public`.orders AS o WHERE c.id = o.id AND note <> 'other.customer'") == [("cy",)]
+    assert rows("WITH customer AS (SELECT 7 AS id) SELECT c.id FROM customer c UNION ALL SELECT id FROM other.customer") == [(2,), (7,)]
+    assert rows("SELECT note FROM orders WHERE id = ( SELECT max(id) FROM other.customer )") == [("cy",)]
+    for sql in ("SELECT * FROM customer", "SELECT * FROM nope.customer", "SELECT * FROM a.b.c.d"):
+        with pytest.raises(GovernanceError):
+            g.plan(ANN, sql)
+
+
+def test_top_and_parameters(g):
+    assert [r.id for r in g.secure_sql(ANN, "SELECT TOP 1 id, phone FROM customer").collect()] == [1]
+    assert g.secure_sql(ANN, "SELECT id FROM customer WHERE id = ?", [2]).first().id == 2
+    assert g.secure_sql(ANN, "SELECT phone FROM customer WHERE id = :who", {"who": 2}).first().phone == "139****1111"
+
+
+@pytest.mark.parametrize("policy", [
+    "{name: p, resources: [{table: customer}], rowFilterItems: [{groups: ['*'], condition: 'nope = 1'}]}", "{name: p, resources: [{table: customer, column: email}], dataMaskItems: [{groups: ['*'], udf: mask_email, arguments: [1, 2]}]}",
+    "{name: p, resources: [{table: customer, column: email}], dataMaskItems: [{groups: ['*'], udf: mask_phone, arguments: ['3', '4']}]}", "{name: p, resources: [{table: customer, column: email}], dataMaskItems: [{groups: ['*'], udf: mask_hash, arguments: [crc]}]}",
+])
+def test_bad_policies_fail_at_load(g, policy):
+    with pytest.raises(GovernanceError) as e:
+        Governance(g.spark, {"customer": g.tables[g.full_name("customer")]}, load_policies(f"policies: [{policy}]"))
+    assert e.value.code is Code.CONFIG_ERROR
+
+
+def test_sessions_are_bounded(g, monkeypatch):
+    from wardstone.plans import session
+
+    monkeypatch.setattr(session, "SESSIONS", 3)
+    for k in range(6):
+        g.session(Subject(f"u{k}"))
+    assert len(g._sessions) <= 3 and g.session(Subject("u5")) is g.session(Subject("u5"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -111,15 +112,20 @@ class PolicyIndex:
         found = [p.best(subject) for p in self.ordered if p.kind == "filter" and any(r.covers(*table) for r in p.resources)]
         return [i.condition for i in found if i]
 
+    def covering(self, key: ColumnKey) -> list[Policy]:
+        """All masks of a column, whoever they are for."""
+        return [p for p in self.ordered if p.kind == "mask" and any(r.covers(*key) for r in p.resources)]
+
     def inherits(self, key: ColumnKey) -> bool:
         return any(r.inherit_on_copy and r.covers(*key) for p in self.ordered for r in p.resources)
 
     def effective(self, subject: Subject, columns: Iterable[ColumnKey]) -> tuple[dict[ColumnKey, Item], dict[tuple, str]]:
-        """Masks by column and combined filters by table for one subject."""
+        """Masks by column and combined filters by table for one subject; of equal priority the first name decides."""
         columns = list(columns)
-        masks = {c: d[1] for c in columns if (d := self.mask(subject, c))}
+        named = PolicyIndex(sorted(self.policies, key=lambda p: p.name))
+        masks = {c: d[1] for c in columns if (d := named.mask(subject, c))}
         tables = dict.fromkeys(c[:3] for c in columns)
-        return masks, {t: " AND ".join(f"({c})" for c in conditions) for t in tables if (conditions := self.filters(subject, t))}
+        return masks, {t: " AND ".join(f"({c})" for c in conditions) for t in tables if (conditions := named.filters(subject, t))}
 
 
 class _Unique(yaml.SafeLoader):
@@ -166,7 +172,9 @@ def _item(raw: dict, path: str, mask: bool) -> Item:
 
 def load_policies(text: str) -> list[Policy]:
     """Policies from YAML; a column may be one name, a list of names or *."""
-    root = parse_yaml(text).get("policies") or []
+    whole = parse_yaml(text)
+    _need(not set(whole) & {"columns", "rowFilters"}, "policies", "a list of policies stands alone, without columns and rowFilters")
+    root = whole.get("policies") or []
     _need(isinstance(root, list), "policies", "a list is needed")
     out, names = [], set()
     for i, raw in enumerate(root):
@@ -208,9 +216,20 @@ def dump_policies(policies: list[Policy]) -> str:
     return yaml.safe_dump({"policies": out}, sort_keys=False, allow_unicode=True)
 
 
+def merge_policies(stored: list[Policy], given: list[Policy]) -> tuple[list[Policy], dict[str, list[str]]]:
+    """Import as update-or-create by name: what is stored then, and which names were created, updated or alike."""
+    old = {p.name: p for p in stored}
+    report: dict[str, list[str]] = {"created": [], "updated": [], "unchanged": []}
+    for p in given:
+        report["created" if p.name not in old else "unchanged" if old[p.name] == p else "updated"].append(p.name)
+        old[p.name] = p
+    return list(old.values()), report
+
+
 def load_legacy(text: str) -> list[Policy]:
     """Masks under ``policies``, bound under ``columns``, and ``rowFilters``: policies of priority 0 for everyone."""
     root = parse_yaml(text)
+    _need(isinstance(root.get("policies") or {}, dict), "policies", "a list of policies is not read with columns and rowFilters")
     everyone, out = Selector(groups=("*",)), []
     for column, name in (root.get("columns") or {}).items():
         parts = column.lower().split(".")
@@ -225,6 +244,16 @@ def load_legacy(text: str) -> list[Policy]:
     return out
 
 
+def _check_arguments(name: str, item: Item) -> None:
+    """The number and the types of a mask's arguments, after its function's own parameters."""
+    want = list(inspect.signature(MASKS[item.udf]).parameters.values())[1:]
+    _need(len(item.arguments) <= len(want), name, f"{item.udf} takes {len(want)} arguments at the most, not {len(item.arguments)}")
+    for value, p in zip(item.arguments, want, strict=False):
+        _need(type(value) is type(p.default), name, f"{item.udf}: {p.name} is {type(p.default).__name__}, not {value!r}")
+        _need(not isinstance(value, int) or value >= 0, name, f"{item.udf}: {p.name} is negative")
+    _need(item.udf != "mask_hash" or all(a in ("sha256", "md5") for a in item.arguments), name, "mask_hash knows sha256 and md5")
+
+
 def validate(policies: list[Policy], columns: Iterable[ColumnKey], masks: Iterable[str] = MASKS) -> None:
     """Every resource meets a declared table or column, every mask is known, and no two masks of equal
     priority for one column name the same subject."""
@@ -235,6 +264,8 @@ def validate(policies: list[Policy], columns: Iterable[ColumnKey], masks: Iterab
             _need(hit, p.name, f"no declared {'column' if p.kind == 'mask' else 'table'} matches {r.catalog}.{r.schema}.{r.table}.{r.column or '*'}")
         for i in p.items:
             _need(p.kind == "filter" or i.udf in masks, p.name, f"no masking function {i.udf!r}")
+            if i.udf in MASKS:
+                _check_arguments(p.name, i)
     live = [p for p in policies if p.enabled and p.kind == "mask"]
     for a, b in combinations(live, 2):
         if a.priority == b.priority and any(any(r.covers(*c) for r in a.resources) and any(r.covers(*c) for r in b.resources) for c in columns):
