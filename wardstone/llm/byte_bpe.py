@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardstone.llm._columns import bound
 from wardstone.llm._store import cut, drop_cut, fresh, without
 
 #: Most words whose ids are sent to the tasks, and most bytes that they take.
@@ -49,11 +50,6 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value worked out once; a literal so bound stands in the plan once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 

@@ -47,7 +47,7 @@ parted AS (SELECT doc_id, line, {_words("line")} AS lw FROM each),
 judged AS (
   SELECT doc_id, line, lw, len(lw) > 0 AND (
     {_share("|")} >= {Q.BARS} OR {_share(Q.SYMBOLS)} * {Q.SYMBOL_SHARE} > length(line) OR {_share("!")} * {Q.SHOUT_SHARE} > length(line)
-    OR (len(lw) >= {Q.LONG_LINE} AND (len(list_distinct(lw)) * 4 < len(lw) OR {_share(".,;:?!…。，！？،؟।")} = 0))
+    OR (len(lw) >= {Q.LONG_LINE} AND (list_sum(list_transform(range(0, len(lw), {Q.REPEAT_WINDOW}), lambda k: len(list_distinct(lw[k + 1:k + {Q.REPEAT_WINDOW}])))) * 4 < len(lw) OR {_share(".,;:?!…。，！？،؟।")} = 0))
     OR (len(lw) <= {Q.BOILERPLATE_WORDS} AND regexp_matches(line, '{Q.BOILERPLATE}'))) AS fails
   FROM parted),
 by_doc AS (

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardstone.llm._store import without
+from wardstone.llm._columns import bound
+from wardstone.llm._store import fresh, without
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -24,6 +25,8 @@ BARS = 3
 SYMBOL_SHARE, SHOUT_SHARE = 10, 20
 #: A line of as many words fails without any sentence punctuation, or if its distinct words are under a quarter.
 LONG_LINE = 12
+#: Distinct words are counted in as many words of a line at once.
+REPEAT_WINDOW = 100
 #: A document goes if more than one word in MAX_LOSS stands in failing lines.
 MAX_LOSS = 2
 
@@ -42,17 +45,29 @@ def _count_of(c: Column, chars: str) -> Column:
     return F.length(c) - F.length(F.translate(c, chars, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that breaks a punctuation, navigation or boilerplate rule. Blank lines pass."""
-    own = words(line)
-    n, size = F.length(line), F.size(own)
-    return (_blank(line) != "") & (
-        (_count_of(line, "|") >= BARS)
-        | (_count_of(line, SYMBOLS) * SYMBOL_SHARE > n)
-        | (_count_of(line, "!") * SHOUT_SHARE > n)
-        | ((size >= LONG_LINE) & ((F.size(F.array_distinct(own)) * 4 < size) | (_count_of(line, ".,;:?!…。，！？،؟।") == 0)))
-        | ((size <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
-    )
+def _distinct(own: Column) -> Column:
+    """Distinct words, counted anew in every REPEAT_WINDOW words, so that a long line is judged as a short one."""
+    parts = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / REPEAT_WINDOW).cast("int"))
+    each = lambda n, k: n + F.size(F.array_distinct(F.slice(own, k * REPEAT_WINDOW + 1, F.lit(REPEAT_WINDOW))))
+    return F.when(F.size(own) <= REPEAT_WINDOW, F.size(F.array_distinct(own))).otherwise(F.aggregate(parts, F.lit(0), each))
+
+
+def words_lost(line: Column) -> Column:
+    """Words of a line that breaks a punctuation, navigation or boilerplate rule; 0 for all others. Blank
+    lines pass. The words are split once, as Spark shares nothing within a lambda."""
+
+    def judge(own: Column) -> Column:
+        n, size = F.length(line), F.size(own)
+        fails = (
+            (_count_of(line, "|") >= BARS)
+            | (_count_of(line, SYMBOLS) * SYMBOL_SHARE > n)
+            | (_count_of(line, "!") * SHOUT_SHARE > n)
+            | ((size >= LONG_LINE) & ((_count_of(line, ".,;:?!…。，！？،؟।") == 0) | (_distinct(own) * 4 < size)))
+            | ((size <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
+        )
+        return F.when((size > 0) & fails, size).otherwise(0)
+
+    return bound(words(line), judge)
 
 
 def _window_hashes(own: Column) -> Column:
@@ -71,45 +86,43 @@ def quality_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     with an added name are replaced; all others pass through. A text of any length stays in one row.
     """
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_failed", "kept"]
-    base = without(df, *out, "_own", "_lines", "_hashes", "_order", "_starts", "_good", "_left", "_n_lines")
+    base = without(df, *out)
     keep = [F.col(f"`{c}`") for c in base.columns]
+    own, lines, hashes, order, starts, lost = fresh(base, "own", "lines", "hashes", "order", "starts", "lost")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    step = base.select(*keep, words(F.col(text_col)).alias("_own"), lines.alias("_lines"))
-    step = step.select(*keep, "_own", "_lines", _window_hashes(F.col("_own")).alias("_hashes"), F.filter("_lines", lambda x: ~line_fails(x)).alias("_good"))
-    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    step = step.withColumn("_order", F.when(repeats, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    order = F.col("_order")
+    step = base.select(*keep, words(F.col(text_col)).alias(own), F.split(text, "\n", -1).alias(lines))
+    step = step.select(*keep, own, lines, _window_hashes(F.col(own)).alias(hashes), F.transform(lines, words_lost).alias(lost))
+    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    step = step.withColumn(order, F.when(repeats, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twice = F.transform(order, lambda x, k: F.when((F.get(order, k - 1)["h"] == x["h"]) | (F.get(order, k + 1)["h"] == x["h"]), x["i"]))
-    step = step.withColumn("_starts", F.sort_array(F.array_compact(twice)))
+    step = step.withColumn(starts, F.sort_array(F.array_compact(twice)))
     covered = F.aggregate(
-        "_starts",
+        starts,
         F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    with_word = F.filter("_lines", lambda x: _blank(x) != "")
-    n_words = F.size("_own").cast("long")
+    with_word = F.filter(lines, lambda x: _blank(x) != "")
     step = step.select(
         *keep,
-        "_good",
-        F.size(words(F.array_join("_good", "\n"))).cast("long").alias("_left"),
-        F.size("_lines").cast("long").alias("_n_lines"),
-        n_words.alias("n_words"),
+        lines,
+        lost,
+        F.size(own).cast("long").alias("n_words"),
         F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
         _count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    lost = F.col("n_words") - F.col("_left")
-    n_failed = F.col("_n_lines") - F.size("_good")
+    gone = F.aggregate(lost, F.lit(0).cast("long"), lambda n, k: n + k)
+    n_failed = F.size(F.filter(lost, lambda k: k > 0))
+    good = F.when(n_failed == 0, F.col(f"`{text_col}`")).otherwise(F.array_join(F.filter(lines, lambda x, i: F.get(lost, i) == 0), "\n"))
     return step.select(
-        *[F.when(n_failed == 0, F.col(f"`{c}`")).otherwise(F.array_join("_good", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns],
+        *[good.alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns],
         *out[:5],
         failed.alias("base_failed"),
         n_failed.cast("long").alias("n_lines_failed"),
-        (~failed & (lost * MAX_LOSS <= F.col("n_words"))).alias("kept"),
+        (~failed & (gone * MAX_LOSS <= F.col("n_words"))).alias("kept"),
     )
 
 
