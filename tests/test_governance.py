@@ -215,3 +215,66 @@ def test_sessions_are_bounded(g, monkeypatch):
     for k in range(6):
         g.session(Subject(f"u{k}"))
     assert len(g._sessions) <= 3 and g.session(Subject("u5")) is g.session(Subject("u5"))
+
+
+def test_options_and_submitters(g, spark):
+    from wardstone.operators.catalog import Options, Submitters
+
+    with pytest.raises(GovernanceError):
+        Options(on_failure="MAYBE")
+    sql = "SELECT id IN (SELECT customer_id FROM orders) AS z FROM customer"
+    free = Governance(spark, {t[2]: df for t, df in g.tables.items()}, [])
+    for governance, mode, ok in ((g, "PASSTHROUGH", False), (free, "REFUSE", False), (free, "PASSTHROUGH", True)):
+        gateway = Gateway(governance, options=Options(on_failure=mode))
+        if ok:
+            assert len(gateway.query(ANN, sql)["rows"]) == 3
+        else:
+            with pytest.raises(GovernanceError) as e:
+                gateway.query(ANN, sql)
+            assert e.value.code is Code.LINEAGE_UNKNOWN
+    ways = Submitters(spark="a", other="b")
+    assert ways.get(" ") == "a" and ways.get("other") == "b"
+    with pytest.raises(GovernanceError):
+        ways.get("jdbc2")
+    assert not gateway.cancel("nothing") and gateway.running() == []
+
+
+def test_function_import():
+    from wardstone.operators.catalog import import_functions
+
+    a, b, c, bad = Signature("f", ("string",)), Signature("f", ("string", "int")), Signature("g", ("string",)), Signature("h h", ("string",))
+    out, report = import_functions({a}, {a, b, c, bad, Signature("k", ("geometry",))})
+    assert out == {a, b, c} and report == {"created": ["g"], "updated": ["f"], "skipped": ["h h", "k"]}
+    assert import_functions({a}, {a}) == ({a}, {"created": [], "updated": [], "skipped": ["f"]})
+
+
+def test_policy_import():
+    from wardstone.plans.policy import merge_policies
+
+    text = "policies: [{name: %s, resources: [{table: t, column: c}], dataMaskItems: [{groups: ['*'], udf: %s}]}]"
+    one, two, other = (load_policies(text % x)[0] for x in (("a", "mask_text"), ("a", "mask_name"), ("b", "mask_text")))
+    assert merge_policies([one], [two, other]) == ([two, other], {"created": ["b"], "updated": ["a"], "unchanged": []})
+    assert merge_policies([one], [one])[1]["unchanged"] == ["a"]
+    for mixed in ("policies: []\nrowFilters: {c.s.t: 'x = 1'}", "policies: []\ncolumns: {c.s.t.a: m}"):
+        with pytest.raises(GovernanceError):
+            load_policies(mixed)
+
+
+def test_structures(spark, tmp_path):
+    from wardstone.sources.metadata import Structures, catalog_query, function_query, signatures
+
+    store, text = Structures(spark, str(tmp_path / "s")), "tables: [{catalog: c, schema: s, name: t, columns: [{name: a, type: %s}]}]"
+    assert [store.replace("one", text % t) for t in ("int", "string")] == [1, 2] and store.replace("two", text % "int") == 1
+    version, tables = store.get("one")
+    assert version == 2 and tables[("c", "s", "t")]["a"].dataType.simpleString() == "string"
+    for bad in ("tables: []", text % "nope"):
+        with pytest.raises(GovernanceError):
+            store.replace("one", bad)
+    with pytest.raises(GovernanceError) as e:
+        store.get("three")
+    assert e.value.code is Code.METADATA_INSTANCE_NOT_FOUND
+    assert "pg_matviews" in catalog_query("postgresql") and "VIEW'" in catalog_query("trino", views=False) and "performance_schema" in catalog_query("mysql")
+    with pytest.raises(GovernanceError):
+        function_query("trino")
+    rows = spark.createDataFrame([("s", "f", "f_1", 2, "int"), ("s", "f", "f_1", 1, "text"), ("s", "g", "g_1", None, None)], "routine_schema string, routine_name string, specific_name string, position int, data_type string")
+    assert {(r.name, tuple(r.arguments)) for r in signatures(rows).collect()} == {("f", ("text", "int")), ("g", ())}

@@ -7,7 +7,7 @@ from wardstone.queries import governed, surface
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-NAMES = ["g_join", "g_expression", "g_window", "g_scalar_subquery", "g_rollup", "e7_sliding_count", "e12_alerts", "r15_baseline", "j7_asof", "a2_rollup", "j12_range", "w5_lag_lead"]
+NAMES = ["g_join", "g_expression", "g_window", "g_scalar_subquery", "g_rollup", "e7_sliding_count", "e12_alerts", "r15_baseline", "j7_asof", "a2_rollup", "j12_range", "w5_lag_lead", "p10_between", "w3_exclude", "w4_row_number", "u11_multiset", "p12_unique", "a9_fusion", "e_signatures", "e_features", "e18_alert_detail", "e21_dry_run", "f_interval"]
 
 
 @pytest.mark.parametrize("name", NAMES)

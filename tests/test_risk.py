@@ -104,3 +104,61 @@ def test_windows_stream(spark, tmp_path):
     for k, (frame, n) in enumerate([(live.windowed(read(), "1 minute"), 2), (live.sessions(read(), "2 minutes"), 2)]):
         live.store(frame, str(tmp_path / f"o{k}"), str(tmp_path / f"k{k}"), mode="complete").awaitTermination()
         assert spark.read.parquet(str(tmp_path / f"o{k}")).count() == n
+
+
+def test_counts_and_alerts_across_stretches(spark):
+    """One user with nearly all rows, and null users, against a plain walk."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(rng.randrange(400_000), "hot" if rng.random() < 0.7 else None if rng.random() < 0.5 else "u%d" % rng.randrange(3), "FAILURE" if rng.random() < 0.4 else "SUCCESS", "", True, rng.choice([None, 1, 2, 50])) for _ in range(400)]
+    e = events(spark, rows)
+    found = {r.event_id: (r.n, r.f) for r in risk.with_window_counts(e, "user", "ts", 900, n=F.lit(True), f=F.col("outcome") == "FAILURE").collect()}
+    for i, (s, user, *_) in enumerate(rows):
+        near = [r for r in rows if r[1] == user and s - 900 <= r[0] <= s]
+        assert found[str(i)] == (len(near), sum(r[2] == "FAILURE" for r in near))
+    hits = e.select("event_id", "ts", "user", F.lit("R").alias("rule"), F.lit("HIGH").alias("severity"))
+    want = []
+    for user in {r[1] for r in rows}:
+        last = None
+        for s, i in sorted((r[0], str(i)) for i, r in enumerate(rows) if r[1] == user):
+            if last is None or s - last > 3000:
+                want.append([user or "(unknown)", []])
+            want[-1][1].append((s, i))
+            last = s
+    found = sorted((r.user, r.event_count, tuple(r.event_ids)) for r in risk.alerts(hits, 3000, keep=3).collect())
+    assert found == sorted((u, len(own), tuple(i for _, i in own[:3])) for u, own in want)
+    for r in risk.profiles(e).collect():
+        own = sorted(x[5] for x in rows if x[1] == r.user and x[5] is not None)
+        middle = [own[(len(own) - 1) // 2], own[len(own) // 2]]
+        assert (r.events, r.samples, r.median_rows) == (sum(x[1] == r.user for x in rows), len(own), sum(middle) // 2)
+
+
+def test_nulls_meet_nothing(spark):
+    left = spark.createDataFrame([(None, 5), ("a", None), ("a", 3)], "k string, t int")
+    right = spark.createDataFrame([(None, 1, "x"), ("a", None, "y")], "k string, u int, v string")
+    assert all(r.v is None for r in relational.asof_join(left, right, "k", "t", "u", ["v"]).collect())
+    assert relational.asof_join(left, right, "k", "t", "u", ["v"], inner=True).count() == 0
+    one = spark.createDataFrame([("a", 5), ("b", 1), ("b", 2), ("b", None)], "k string, v int")
+    assert sorted(((r.k, r.v, r.s) for r in one.withColumn("s", relational.sum_excluding_current(F.col("v"), ["k"])).collect()), key=repr) == sorted([("a", 5, None), ("b", 1, 2), ("b", 2, 1), ("b", None, 3)], key=repr)
+
+
+def test_many_assets_give_the_same_hits(spark):
+    rows = [(0, "u", "SUCCESS", "SELECT phone, note FROM crm.customer, orders", None, 5), (1, "u", "SUCCESS", "select * from customer", True, 5000), (2, "u", "SUCCESS", "select 1; drop table t", None, 5)]
+    all_ = spark.createDataFrame([("crm.public.customer.phone", "HIGH", True), ("crm.public.orders.note", "HIGH", True)], "key string, sensitivity string, enabled boolean")
+    few, many = (sorted(map(tuple, live.hits(events(spark, rows), all_, few=n).collect())) for n in (10, 0))
+    assert few == many and {r[3] for r in few} == {"MASK_BYPASS", "SELECT_STAR_SENSITIVE", "LARGE_RESULT", "SQLI_STACKED"}
+
+
+def test_profile_cache(spark):
+    now, loads = [0.0], []
+
+    def load():
+        loads.append(now[0])
+        return spark.range(len(loads))
+
+    cache = risk.ProfileCache(load, 1, lambda: now[0])
+    counts = []
+    for now[0] in (0.0, 4.9, 5.0, 9.0, 11.0):
+        counts.append(cache.get().count())
+    assert counts == [1, 1, 2, 2, 3] and loads == [0.0, 5.0, 11.0]

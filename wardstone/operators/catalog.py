@@ -20,6 +20,7 @@ from wardstone.operators.relational import capped, page
 from wardstone.plans.script import classify, split
 from wardstone.plans.session import Governance, Subject
 
+#: Categories and levels.
 CATEGORIES = ("IDENTITY", "PII", "CONTACT", "FINANCE", "LOCATION", "MEDICAL", "OTHER")
 LEVELS = ("LOW", "MEDIUM", "HIGH")
 #: Parts of column names, category and level; the first that is contained decides.
@@ -55,7 +56,8 @@ def check_classification(category: str, level: str) -> tuple[str, str]:
 
 
 def classification_overview(found: DataFrame) -> DataFrame:
-    return found.groupBy("table_name").agg(F.count("*").alias("classified"), *[F.count_if(F.col("level") == v).alias(v.lower()) for v in LEVELS])
+    """Counts by table, and of all tables in a row with a null name."""
+    return found.rollup("table_name").agg(F.count("*").alias("classified"), *[F.count_if(F.col("level") == v).alias(v.lower()) for v in LEVELS])
 
 
 @dataclass(frozen=True, order=True)
@@ -112,6 +114,35 @@ class Signature:
 FAMILIES = {"string": "text", "char": "text", "varchar": "text", "byte": "number", "short": "number", "int": "number", "bigint": "number", "float": "number", "double": "number", "decimal": "number", "boolean": "boolean"}
 
 
+def check_signature(signature: Signature) -> Signature:
+    """The signature, if its name is a plain identifier and it takes at least one argument, all of known types."""
+    if not re.fullmatch(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)?", signature.name) or not signature.arguments:
+        raise GovernanceError(Code.CONFIG_ERROR, f"{signature.name!r} is no name, or takes no argument")
+    if bad := [a for a in signature.arguments if a.split("(")[0].strip().lower() not in FAMILIES]:
+        raise GovernanceError(Code.CONFIG_ERROR, f"{signature.name}: no types {bad}")
+    return signature
+
+
+def import_functions(registered: set[Signature], found: set[Signature]) -> tuple[set[Signature], dict[str, list[str]]]:
+    """The registry with an engine's functions, and the names created, updated (other overloads than before)
+    and skipped (nothing new, or a signature that does not check)."""
+    report: dict[str, list[str]] = {"created": [], "updated": [], "skipped": []}
+    out = set(registered)
+    for name in sorted({s.name for s in found}):
+        own = set()
+        for s in found:
+            if s.name == name:
+                try:
+                    own.add(check_signature(s))
+                except GovernanceError:
+                    continue
+        old = {s for s in registered if s.name == name}
+        report["skipped" if not own or own == old else "updated" if old else "created"].append(name)
+        if own:
+            out = (out - old) | own
+    return out, report
+
+
 def resolve(signatures: list[Signature], name: str, column_type: str, arguments: tuple[object, ...]) -> Signature:
     """The overload that fits: by number of arguments, then by family of each, then an exact first type."""
     kinds = [FAMILIES.get(column_type), *["boolean" if isinstance(a, bool) else "number" if isinstance(a, (int, float)) else "text" for a in arguments]]
@@ -162,12 +193,67 @@ def encode(value: object) -> object:
     return [encode(v) for v in value] if isinstance(value, (list, tuple)) else str(value)
 
 
-class Gateway:
-    """Runs single SELECTs for subjects, so many at once and so long each; failures to plan are refused."""
+@dataclass(frozen=True)
+class Options:
+    """Options of an instance. on_failure: what happens to a query that cannot be governed, REFUSE or, for
+    instances without any policy, PASSTHROUGH."""
+
+    submitter: str = "spark"
+    on_failure: str = "REFUSE"
+    at_once: int = 10
+    seconds: float = 30
+    hard: int = 10_000
+    insert_overwrite: bool = True
+
+    def __post_init__(self):
+        if self.on_failure not in ("REFUSE", "PASSTHROUGH") or self.at_once < 1 or self.hard < 1:
+            raise GovernanceError(Code.CONFIG_ERROR, f"{self}")
 
-    def __init__(self, governance: Governance, at_once: int = 10, seconds: float = 30, hard: int = 10_000):
-        self.governance, self.seconds, self.hard = governance, seconds, hard
-        self._slots = threading.BoundedSemaphore(at_once)
+
+class Submitters:
+    """Ways of running a planned query by name; a blank name is the first, an unknown one an error."""
+
+    def __init__(self, **ways):
+        self.ways = ways
+
+    def get(self, name: str | None):
+        if not (name or "").strip():
+            return next(iter(self.ways.values()))
+        if name not in self.ways:
+            raise GovernanceError(Code.CONFIG_ERROR, f"no submitter {name!r}")
+        return self.ways[name]
+
+
+class Gateway:
+    """Runs single SELECTs for subjects, so many at once and so long each; failures to plan are refused, but
+    for PASSTHROUGH, which runs a SELECT whose lineage is unknown as it stands where no policy exists."""
+
+    def __init__(self, governance: Governance, at_once: int = 10, seconds: float = 30, hard: int = 10_000, options: Options | None = None, submitters: Submitters | None = None):
+        options = options or Options(at_once=at_once, seconds=seconds, hard=hard)
+        self.governance, self.options, self.seconds, self.hard = governance, options, options.seconds, options.hard
+        self.submit = (submitters or Submitters(spark=capped)).get(options.submitter)
+        self._slots = threading.BoundedSemaphore(options.at_once)
+        self._running: dict[str, threading.Event] = {}
+
+    def running(self) -> list[str]:
+        return sorted(self._running)
+
+    def cancel(self, query: str) -> bool:
+        """Stop a running query by its id; False if there is none."""
+        if query not in self._running:
+            return False
+        self._running[query].set()
+        self.governance.spark.sparkContext.cancelJobGroup(query)
+        return True
+
+    def _frame(self, subject: Subject, sql: str) -> tuple[DataFrame, list[str]]:
+        try:
+            plan = self.governance.plan(subject, sql)[0]
+            return plan.frame, sorted(plan.masked)
+        except GovernanceError as e:
+            if self.options.on_failure != "PASSTHROUGH" or self.governance.policies or e.code is not Code.LINEAGE_UNKNOWN:
+                raise
+            return self.governance.session(subject).sql(sql), []
 
     def query(self, subject: Subject, sql: str, max_rows: int | None = None) -> dict[str, object]:
         statements = split(sql)
@@ -176,22 +262,24 @@ class Gateway:
         if not self._slots.acquire(blocking=False):
             raise GovernanceError(Code.QUERY_FAILED, "too many queries at once")
         context, group = self.governance.spark.sparkContext, f"gateway-{uuid.uuid4().hex}"
-        late = threading.Event()
+        late, stopped = threading.Event(), threading.Event()
 
         def stop():
             late.set()
             context.cancelJobGroup(group)
 
         timer = threading.Timer(self.seconds, stop)
+        self._running[group] = stopped
         try:
-            plan = self.governance.plan(subject, statements[0])[0]
+            frame, masked = self._frame(subject, statements[0])
             context.setJobGroup(group, "governed query", interruptOnCancel=True)
             timer.start()
-            rows, more = capped(plan.frame, max_rows, hard=self.hard)
-            return {"columns": plan.frame.columns, "rows": [[encode(v) for v in r] for r in rows], "truncated": more, "masked": sorted(plan.masked)}
+            rows, more = self.submit(frame, max_rows, hard=self.hard)
+            return {"id": group, "columns": frame.columns, "rows": [[encode(v) for v in r] for r in rows], "truncated": more, "masked": masked}
         except PySparkException as e:
-            raise GovernanceError(Code.QUERY_TIMEOUT if late.is_set() else Code.QUERY_FAILED, "the query did not finish") from e
+            raise GovernanceError(Code.QUERY_TIMEOUT if late.is_set() else Code.QUERY_FAILED, "the query was cancelled" if stopped.is_set() else "the query did not finish") from e
         finally:
             timer.cancel()
+            self._running.pop(group, None)
             context.setLocalProperty("spark.jobGroup.id", None)
             self._slots.release()

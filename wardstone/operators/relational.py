@@ -38,7 +38,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_a
     """Each left row with the values of the latest right row of its key at or before it.
 
     Both sides go through one shuffle on the key and one sort; nothing is paired. Of right rows at one
-    time the largest values win."""
+    time the largest values win. Null keys and null times meet nothing."""
+    right = right.where(F.col(key).isNotNull() & F.col(right_at).isNotNull())
     right_struct = F.struct(F.col(right_at).alias(right_at), *[F.col(v) for v in values])
     both = left.select(F.col(key), F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(None).cast(right.select(right_struct).schema[0].dataType).alias("_right")).unionByName(
         right.select(F.col(key), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*[F.col(c) for c in left.columns])).schema[0].dataType).alias("_left"), right_struct.alias("_right"))
@@ -46,17 +47,43 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_a
     w = Window.partitionBy(key).orderBy("_at", "_side", *[F.col("_right")[v] for v in values]).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
     if inner:
-        found = found.where("_right is not null")
-    return found.select("_left.*", *[F.col("_right")[c].alias(c) for c in (right_at, *values)])
+        found = found.where(F.col("_right").isNotNull() & F.col(key).isNotNull() & F.col("_at").isNotNull())
+    meets = F.col(key).isNotNull() & F.col("_at").isNotNull()
+    return found.select("_left.*", *[F.when(meets, F.col("_right")[c]).alias(c) for c in (right_at, *values)])
 
 
 def sum_excluding_current(value: Column, partition: list[str]) -> Column:
-    """SUM(value) OVER (PARTITION BY ... EXCLUDE CURRENT ROW)."""
-    return F.sum(value).over(Window.partitionBy(*partition)) - F.coalesce(value, F.lit(0))
+    """SUM(value) OVER (PARTITION BY ... EXCLUDE CURRENT ROW): NULL if no other row has a value."""
+    w = Window.partitionBy(*partition)
+    others = F.count(value).over(w) - value.isNotNull().cast("int")
+    return F.when(others > 0, F.sum(value).over(w) - F.coalesce(value, F.lit(0)))
 
 
-def json_value(doc: Column, path: str) -> Column:
-    return F.get_json_object(doc, path)
+def unique(df: DataFrame, *columns: str) -> DataFrame:
+    """One row, UNIQUE of a table: whether no two rows agree in all columns; rows with a null differ from all."""
+    whole = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("_n"))
+    return whole.agg(F.coalesce(F.max("_n") <= 1, F.lit(True)).alias("is_unique"))
+
+
+def multiset(a: Column, b: Column, how: str, distinct: bool = False) -> Column:
+    """MULTISET UNION, INTERSECT and EXCEPT of arrays; without ``distinct`` by number, in the order of values."""
+    if distinct:
+        return F.array_sort({"union": F.array_union, "intersect": F.array_intersect, "except": F.array_except}[how](a, b))
+    if how == "union":
+        return F.array_sort(F.concat(a, b))
+    number = lambda x, v: F.size(F.filter(x, lambda y: y.eqNullSafe(v)))
+    keep = lambda v: F.least(number(a, v), number(b, v)) if how == "intersect" else F.greatest(number(a, v) - number(b, v), F.lit(0))
+    return F.flatten(F.transform(F.array_sort(F.array_distinct(a)), lambda v: F.array_repeat(v, keep(v))))
+
+
+def ranked(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
+    """ROW_NUMBER over the whole table without gathering it in one task: rows are dealt by range, counted
+    by part, and each part adds the number of rows before it. ``order`` must tell rows apart."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    own = Window.partitionBy("_part").orderBy(*order)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.row_number().over(own) + F.col("_before")).drop("_part", "_before")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
@@ -65,8 +92,3 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     p = points.withColumn("_bucket", F.floor(F.col(at) / width).cast("long"))
     r = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), F.floor(F.col(high) / width).cast("long"))))
     return p.join(r, "_bucket").where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")
-
-
-def salted_count(df: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
-    """COUNT by keys in two steps, for keys that hold a large share of the rows."""
-    return df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).groupBy(*keys, "_salt").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"))

@@ -6,6 +6,8 @@ Events have event_id, ts, user, outcome, event_type, original_sql, masked, row_c
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +32,16 @@ SEVERITY = {
     "SENSITIVE_BURST": "HIGH", "FAILURE_BURST": "HIGH", "OFF_HOURS_ACCESS": "MEDIUM", "LARGE_RESULT": "MEDIUM", "SELECT_STAR_SENSITIVE": "MEDIUM", "MASK_BYPASS": "HIGH", "NEW_SUBJECT_SENSITIVE": "LOW", "BEHAVIOR_BASELINE": "MEDIUM",
 }
 
+#: Fixed value: SELECT * as the rules see it.
 SELECT_STAR = r"(?is)\bselect\s+(distinct\s+)?\*"
-TABLE_NAME = r"(?is)\b(?:from|join)\s+((?:\"[^\"]+\"|[a-z_][\w$]*)(?:\s*\.\s*(?:\"[^\"]+\"|[a-z_][\w$]*))*)"
+
+
+def table_names(text: Column) -> Column:
+    """Names after FROM and JOIN in lower-case text, qualified ones in one piece, without quotes: the text is
+    cut into words at blanks, commas and brackets, and the words that follow these two are taken."""
+    joined = F.regexp_replace(F.translate(text, '"', ""), r"\s*\.\s*", ".")
+    words = F.filter(F.split(joined, r"[\s,();]+"), lambda w: w != "")
+    return F.filter(words, lambda w, i: F.get(words, i - 1).isin("from", "join") & F.lower(w).rlike("^[a-z_]"))
 
 
 def weight(severity: Column) -> Column:
@@ -51,7 +61,7 @@ def with_features(events: DataFrame, assets: DataFrame, sql: str = "original_sql
     words, in one scan per event: words of the text are joined to the assets by table word.
     """
     text = F.lower(F.coalesce(F.col(sql), F.lit("")))
-    refs = F.transform(F.regexp_extract_all(text, F.lit(TABLE_NAME), F.lit(1)), lambda r: F.regexp_replace(r, r'["\s]', ""))
+    refs = table_names(text)
     out = events.withColumn("select_star", F.coalesce(F.col(sql).rlike(SELECT_STAR), F.lit(False)))
     out = out.withColumn("matched_tables", F.array_distinct(F.concat(refs, F.transform(refs, lambda r: F.element_at(F.split(r, r"\."), -1)))))
     known = assets.where("enabled").select("key", "sensitivity", F.element_at(F.split(F.lower("key"), r"\."), -2).alias("_table"), F.element_at(F.split(F.lower("key"), r"\."), -1).alias("_column"))
@@ -68,15 +78,26 @@ def touches(severity: str) -> Column:
     return F.exists("sensitive_columns", lambda c: rank(c["sensitivity"]) >= list(WEIGHTS).index(severity))
 
 
-def window_count(user: str, at: str, seconds: float, condition: Column) -> Column:
-    """Events of the user for which the condition holds in the ``seconds`` up to and with each event, by event time."""
-    w = Window.partitionBy(user).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-int(seconds * 1e6), 0)
-    return F.count(F.when(condition, 1)).over(w)
+def with_window_counts(events: DataFrame, user: str, at: str, seconds: float, **conditions: Column) -> DataFrame:
+    """``events`` with, for each condition, how many events of the user meet it in the ``seconds`` up to and
+    with each event, by event time.
+
+    Time is cut into stretches of eight windows, so one user's events, or those of all null users, do not
+    gather in one task; events in the last window of a stretch also stand at the head of the next."""
+    width = max(1, int(seconds * 1e6))
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    own = F.floor(t / (8 * width)).cast("long")
+    late = t >= (own + 1) * (8 * width) - width
+    cut = events.withColumns({f"_is_{n}": c for n, c in conditions.items()}).withColumns({"_t": t, "_own": own})
+    cut = cut.withColumn("_stretch", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(user, "_stretch").orderBy("_t").rangeBetween(-width, 0)
+    counted = cut.withColumns({n: F.count(F.when(F.col(f"_is_{n}"), 1)).over(w) for n in conditions})
+    return counted.where(F.col("_stretch").eqNullSafe(F.col("_own"))).select(*events.columns, *conditions)
 
 
 def burst(events: DataFrame, condition: Column, seconds: float, threshold: int, user: str = "user", at: str = "ts", name: str = "burst_count") -> DataFrame:
     """Events that bring the user's count of such events in the window to a multiple of the threshold."""
-    counted = events.withColumn(name, window_count(user, at, seconds, condition))
+    counted = with_window_counts(events, user, at, seconds, **{name: condition})
     return counted.where(condition & F.col(user).isNotNull() & (F.col(name) >= threshold) & (F.col(name) % threshold == 0))
 
 
@@ -87,20 +108,28 @@ def first_touch(events: DataFrame, thing: str, user: str = "user", at: str = "ts
 
 def profiles(events: DataFrame, user: str = "user", at: str = "ts", rows: str = "row_count") -> DataFrame:
     """Per user: events, rate per hour of the span (an hour at least), events by hour of day, row samples
-    and their median (the floor of the mean of the middle two for even numbers)."""
+    and their median (the floor of the mean of the middle two for even numbers).
+
+    Equal row counts of a user are combined before the median is taken from cumulative counts; no list of a
+    user's values is built."""
     t = F.unix_micros(F.col(at).cast("timestamp"))
+    value = F.col(rows).cast("long").alias("_v")
     bins = [F.count_if(F.hour(at) == h).alias(f"h{h}") for h in range(24)]
-    out = events.groupBy(user).agg(F.count("*").alias("events"), F.min(t).alias("_a"), F.max(t).alias("_b"), *bins, F.count(rows).alias("samples"), F.sort_array(F.collect_list(F.col(rows).cast("long"))).alias("_rows"))
-    n = F.size("_rows")
-    mid = F.floor(n / 2).cast("int")
-    median = F.when(n == 0, F.lit(None)).when(n % 2 == 1, F.get("_rows", mid)).otherwise(F.floor((F.get("_rows", mid - 1) + F.get("_rows", mid)) / 2))
+    by_value = events.groupBy(user, value).agg(F.count("*").alias("_n"), F.min(t).alias("_a"), F.max(t).alias("_b"), *bins)
+    have = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    own = Window.partitionBy(user)
+    by_value = by_value.withColumns({"_up": F.sum(have).over(own.orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum(have).over(own)})
+    at_place = lambda k: F.min(F.when((F.col("_up") >= k) & F.col("_v").isNotNull(), F.col("_v")))
+    low, high = at_place(F.floor((F.col("_all") + 1) / 2)), at_place(F.floor(F.col("_all") / 2) + 1)
+    totals = [F.sum(f"h{h}").alias(f"h{h}") for h in range(24)]
+    out = by_value.groupBy(user).agg(F.sum("_n").alias("events"), F.min("_a").alias("_a"), F.max("_b").alias("_b"), *totals, F.max("_all").alias("samples"), F.floor((low + high) / 2).alias("_median"))
     hours = F.greatest(F.lit(1), F.ceil((F.col("_b") - F.col("_a")) / 3_600_000_000))
-    return out.select(user, "events", F.round(F.col("events") / hours, 2).alias("rate_per_hour"), F.array(*[f"h{h}" for h in range(24)]).alias("histogram"), "samples", median.cast("long").alias("median_rows"))
+    return out.select(user, "events", F.round(F.col("events") / hours, 2).alias("rate_per_hour"), F.array(*[f"h{h}" for h in range(24)]).alias("histogram"), "samples", F.col("_median").cast("long").alias("median_rows"))
 
 
 def baseline(events: DataFrame, known: DataFrame, user: str = "user", at: str = "ts", rows: str = "row_count", seconds: float = 600, least: int = 8, times: float = 5, row_times: float = 5, cold: int = 20) -> DataFrame:
     """Events that differ from the user's profile: a burst, many rows, or an hour hardly seen."""
-    joined = events.withColumn("_n", window_count(user, at, seconds, F.lit(True))).join(known, user)
+    joined = with_window_counts(events, user, at, seconds, _n=F.lit(True)).join(known, user)
     fast = (F.col("_n") >= least) & (F.col("_n") * 3600.0 / seconds >= times * F.col("rate_per_hour"))
     large = (F.col("samples") >= 10) & (F.col(rows) >= row_times * F.col("median_rows"))
     odd = (F.col("events") >= 30) & (F.get("histogram", F.hour(at)) <= 1)
@@ -132,7 +161,7 @@ def evaluate(events: DataFrame, assets: DataFrame, burst_seconds: float = 60, se
     out = with_features(events, assets)
     known = profiles(events)
     touched, failed = touches("MEDIUM"), F.col("outcome") == "FAILURE"
-    out = out.withColumn("_s", window_count("user", "ts", burst_seconds, touched)).withColumn("_f", window_count("user", "ts", burst_seconds, failed))
+    out = with_window_counts(out, "user", "ts", burst_seconds, _s=touched, _f=failed)
     every = lambda n, k: (F.col(n) >= k) & (F.col(n) % k == 0) & F.col("user").isNotNull()
     odd = baseline(events, known).select("event_id", F.lit(True).alias("_odd"))
     high = out.where(touches("HIGH")).select("event_id", "user", "ts", F.explode(F.filter("sensitive_columns", lambda c: rank(c["sensitivity"]) >= 3)).alias("_c")).withColumn("_c", F.col("_c.key"))
@@ -152,16 +181,27 @@ def scored(events: DataFrame, hits: str = "hits") -> DataFrame:
 
 def alerts(hits: DataFrame, cooldown: float = 900, least: str = "MEDIUM", rule: str = "rule", user: str = "user", at: str = "ts", severity: str = "severity", id_: str = "event_id", keep: int = 50) -> DataFrame:
     """Hits folded into alerts: per rule and user a new one starts after a gap of more than ``cooldown``
-    seconds. first_hit, last_hit, event_count, severity (the highest), event_ids (the first ``keep``)."""
+    seconds. first_hit, last_hit, event_count, severity (the highest), event_ids (the first ``keep``).
+
+    Rows are walked by day, and only a row for each day of a rule and user by rule and user, so that a user
+    with a large share of all hits is not walked in one task."""
     own = hits.where(rank(F.col(severity)) >= list(WEIGHTS).index(least)).withColumn(user, F.coalesce(F.col(user).cast("string"), F.lit("(unknown)")))
-    t = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(rule, user).orderBy(t, id_)
-    own = own.withColumn("_new", F.coalesce((t - F.lag(t).over(w) > int(cooldown * 1e6)).cast("int"), F.lit(1)))
-    own = own.withColumn("alert_no", F.sum("_new").over(w)).withColumn("_k", F.row_number().over(Window.partitionBy(rule, user, "alert_no").orderBy(t, id_)))
-    top = F.max(rank(F.col(severity)))
-    return own.groupBy(rule, user, "alert_no").agg(
-        F.min(at).alias("first_hit"), F.max(at).alias("last_hit"), F.count("*").alias("event_count"), F.element_at(F.array(*map(F.lit, WEIGHTS)), top + 1).alias("severity"),
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("_k") <= keep, F.struct("_k", F.col(id_).alias("id"))))), lambda x: x["id"]).alias("event_ids"),
+    gap, t = int(cooldown * 1e6), F.unix_micros(F.col(at).cast("timestamp"))
+    own = own.withColumns({"_t": t, "_day": F.floor(t / 86_400_000_000)})
+    within = Window.partitionBy(rule, user, "_day").orderBy("_t", id_)
+    own = own.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(within) > gap).cast("int"), F.lit(0)))
+    own = own.withColumn("_own_no", F.sum("_new").over(within))
+    days = own.groupBy(rule, user, "_day").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.sum("_new").alias("_inner"))
+    by_day = Window.partitionBy(rule, user).orderBy("_day")
+    days = days.withColumn("_head", F.coalesce((F.col("_first") - F.lag("_last").over(by_day) > gap).cast("int"), F.lit(1)))
+    days = days.withColumn("_start", F.sum(F.col("_inner") + F.col("_head")).over(by_day) - F.col("_inner"))
+    own = own.join(days.select(rule, user, "_day", "_start"), [rule, user, "_day"]).withColumn("alert_no", F.col("_start") + F.col("_own_no"))
+    each = own.withColumn("_k", F.row_number().over(Window.partitionBy(rule, user, "alert_no", "_day").orderBy("_t", id_)))
+    first = F.collect_list(F.when(F.col("_k") <= keep, F.struct("_t", F.col(id_).alias("id"))))
+    each = each.groupBy(rule, user, "alert_no", "_day").agg(F.min(at).alias("first_hit"), F.max(at).alias("last_hit"), F.count("*").alias("event_count"), F.max(rank(F.col(severity))).alias("_top"), first.alias("_ids"))
+    return each.groupBy(rule, user, "alert_no").agg(
+        F.min("first_hit").alias("first_hit"), F.max("last_hit").alias("last_hit"), F.sum("event_count").alias("event_count"), F.element_at(F.array(*map(F.lit, WEIGHTS)), F.max("_top") + 1).alias("severity"),
+        F.transform(F.slice(F.sort_array(F.flatten(F.collect_list("_ids"))), 1, keep), lambda x: x["id"]).alias("event_ids"),
     )
 
 
@@ -194,16 +234,88 @@ def series(events: DataFrame, bucket: str, start: str, end: str, at: str = "ts",
     return spine.join(counted, spine["bucket"] == counted["bucket"].cast("timestamp_ntz"), "left").select(spine["bucket"], F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def search(events: DataFrame, user: str | None = None, event_type: str | None = None, outcome: str | None = None, severity: str | None = None, rule: str | None = None, keyword: str | None = None) -> DataFrame:
-    """Events by part of the user, exact type, outcome, severity, rule, and a keyword; newest first."""
+def _keyword(frame: DataFrame, word: str, *names: str) -> Column:
+    return reduce(Column.__or__, [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(word.lower())) for c in names if c in frame.columns], F.lit(False))
+
+
+def search(events: DataFrame, user: str | None = None, event_type: str | None = None, outcome: str | None = None, severity: str | None = None, rule: str | None = None, keyword: str | None = None, minutes: int | None = None, now: str | None = None) -> DataFrame:
+    """Events by part of the user, exact type, outcome, severity, rule, a keyword (in SQL, user, address, error
+    or a rule's name) and the last minutes up to ``now``; newest first."""
     tests = [F.contains(F.lower("user"), F.lit(user.lower()))] if user else []
     tests += [F.lower(c) == v.lower() for c, v in (("event_type", event_type), ("outcome", outcome), ("top_severity", severity)) if v]
     tests += [F.exists("hits", lambda h: h["rule"] == rule)] if rule else []
     if keyword:
-        tests.append(reduce(Column.__or__, [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(keyword.lower())) for c in ("original_sql", "user", "source_ip") if c in events.columns]))
+        named = F.exists("hits", lambda h: F.contains(F.lower(h["rule"]), F.lit(keyword.lower()))) if "hits" in events.columns else F.lit(False)
+        tests.append(_keyword(events, keyword, "original_sql", "user", "source_ip", "error_code") | named)
+    if minutes is not None:
+        end = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+        tests.append(F.unix_micros(F.col("ts").cast("timestamp")) >= F.unix_micros(end) - minutes * 60_000_000)
     return reduce(DataFrame.where, tests, events).orderBy(F.desc("ts"), F.desc("event_id"))
 
 
+def alert_search(found: DataFrame, status: str | None = None, severity: str | None = None, rule: str | None = None, keyword: str | None = None) -> DataFrame:
+    """Alerts by exact status, severity and rule and a keyword in rule or user; the last hit first."""
+    tests = [F.lower(c) == v.lower() for c, v in (("status", status), ("severity", severity), ("rule", rule)) if v]
+    tests += [_keyword(found, keyword, "rule", "user")] if keyword else []
+    return reduce(DataFrame.where, tests, found).orderBy(F.desc("last_hit"), "rule", "user")
+
+
+def alert_detail(found: DataFrame, events: DataFrame, id_: str = "event_id") -> DataFrame:
+    """Each alert's events, as far as ``event_ids`` lists them: rule, user, alert_no and the event's columns."""
+    ids = found.select("rule", F.col("user").alias("alert_user"), "alert_no", F.explode("event_ids").alias(id_))
+    return ids.join(events, id_)
+
+
+def rule_hits(events: DataFrame, hits: str = "hits") -> DataFrame:
+    """Hits and events by rule."""
+    each = events.select("event_id", F.explode(hits).alias("h")).groupBy(F.col("h.rule").alias("rule"), "event_id").agg(F.count("*").alias("n"))
+    return each.groupBy("rule").agg(F.sum("n").alias("hits"), F.count("*").alias("events"))
+
+
+def board(events: DataFrame, now: str, seconds: float = 600, bursting: int = 8, most: int = 20, user: str = "user", at: str = "ts") -> DataFrame:
+    """The users with most events: events, how many in the last ``seconds`` up to ``now``, and whether these
+    reach ``bursting``. Null users are left out; one pass, counted before the shuffle."""
+    t, end = F.unix_micros(F.col(at).cast("timestamp")), F.unix_micros(F.lit(now).cast("timestamp"))
+    recent = F.count_if((t > end - int(seconds * 1e6)) & (t <= end))
+    counted = events.where(F.col(user).isNotNull()).groupBy(user).agg(F.count("*").alias("events"), recent.alias("recent"))
+    return counted.withColumn("bursting", F.col("recent") >= bursting).orderBy(F.desc("events"), F.asc(user)).limit(most)
+
+
+def recent(events: DataFrame, most: int, at: str = "arrived", id_: str = "event_id") -> DataFrame:
+    """The last ``most`` events by arrival: what a rolling store of that size holds."""
+    return events.orderBy(F.desc(at), F.desc(id_)).limit(most)
+
+
+def dry_run(events: DataFrame, conditions: list[tuple[str, str, str]], limit: int = 1000, samples: int = 5, **window) -> DataFrame:
+    """What a custom rule would hit among the last ``limit`` (10 to 5000) events, without any effect: one row
+    with tested, hits and the first ``samples`` ids."""
+    tested = recent(events, min(5000, max(10, limit)), "ts")
+    found = custom(tested, conditions, **window).agg(F.count("*").alias("hits"), F.slice(F.sort_array(F.collect_list(F.col("event_id"))), 1, samples).alias("samples"))
+    return tested.agg(F.count("*").alias("tested")).crossJoin(found)  # one row each
+
+
+def alert_overview(found: DataFrame, since: str) -> DataFrame:
+    """One row: alerts that are open, acknowledged, and resolved since a time."""
+    resolved = (F.col("status") == "RESOLVED") & (F.col("last_hit") >= F.lit(since).cast("timestamp"))
+    return found.agg(F.count_if(F.col("status") == "OPEN").alias("open"), F.count_if(F.col("status") == "ACK").alias("ack"), F.count_if(resolved).alias("resolved"))
+
+
+class ProfileCache:
+    """Profiles read anew once they are older than ``seconds`` (5 at the least); until then events are judged
+    against those at hand, stale as they may be."""
+
+    def __init__(self, load: Callable[[], DataFrame], seconds: float = 300, clock: Callable[[], float] = time.monotonic):
+        self.load, self.seconds, self.clock = load, max(5.0, seconds), clock
+        self._at, self._held = 0.0, None
+
+    def get(self) -> DataFrame:
+        if self._held is None or self.clock() - self._at >= self.seconds:
+            old, self._held, self._at = self._held, self.load().persist(), self.clock()
+            if old is not None:
+                old.unpersist()
+        return self._held
+
+
 #: Fields and operators of custom rules.
 FIELDS = {"user": "user", "ip": "source_ip", "eventType": "event_type", "outcome": "outcome", "dialect": "dialect", "masked": "masked", "rowFiltered": "row_filtered", "sql": "original_sql", "errorCode": "error_code", "rowCount": "row_count", "hour": "hour", "instance": "instance", "table": "matched_tables", "column": "sensitive_columns"}
 OPERATORS = ("eq", "neq", "contains", "not_contains", "regex", "in", "not_in", "gt", "lt", "startswith", "endswith")

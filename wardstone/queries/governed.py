@@ -88,7 +88,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e7_sliding_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the same user in the last 24 hours, up to and with each."""
-    return _events(spark, sf_dir).select("event_id", risk.window_count("user", "ts", 86_400, F.lit(True)).alias("n"))
+    return risk.with_window_counts(_events(spark, sf_dir), "user", "ts", 86_400, n=F.lit(True)).select("event_id", "n")
 
 
 def r9_failure_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,8 @@ def r9_failure_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r10_off_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).where((F.hour("ts") < 8) | (F.hour("ts") >= 19)).select("event_id")
+    events = _events(spark, sf_dir).withColumns({"original_sql": F.lit(""), "masked": F.lit(True), "select_star": F.lit(False), "sensitive_columns": F.array().cast("array<struct<key:string,sensitivity:string>>")})
+    return events.where(F.exists(risk.stateless_hits(), lambda h: h["rule"] == "OFF_HOURS_ACCESS")).select("event_id")
 
 
 def r14_first_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,16 +163,86 @@ def k1_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.classify_columns(spark.createDataFrame(rows, "table_name string, column_name string")).select("table_name", "column_name", "category", "level")
 
 
+#: Texts of attacks, dealt to events by id, and the rules that each meets.
+ATTACKS = (
+    ("SELECT a FROM t WHERE id = 1 OR 1=1", "SQLI_TAUTOLOGY"),
+    ("SELECT a FROM t WHERE n = '' OR 'a'='a'", "SQLI_TAUTOLOGY,SQLI_TAUTOLOGY"),
+    ("SELECT a FROM t UNION ALL SELECT b FROM u", "SQLI_UNION"),
+    ("SELECT 1; DROP TABLE t", "SQLI_STACKED"),
+    ("SELECT a FROM t WHERE n = 'x' -- y", "SQLI_COMMENT,SQLI_COMMENT"),
+    ("SELECT pg_sleep(5)", "SQLI_TIME_BASED"),
+    ("SELECT table_name FROM information_schema.tables", "SQLI_META_PROBE"),
+    ("SELECT 0xDEADBEEF01", "SQLI_OBFUSCATION"),
+    ("SELECT phone, email FROM crm.customer", "MASK_BYPASS"),
+    ("SELECT * FROM customer c JOIN orders o ON c.id = o.id", "MASK_BYPASS,SELECT_STAR_SENSITIVE"),
+    ("SELECT id FROM orders", ""),
+)
+ASSETS = [("crm.public.customer.phone", "HIGH", True), ("crm.public.customer.email", "MEDIUM", True), ("crm.public.orders.note", "HIGH", False)]
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events with the text of a query each, and what sensitive columns it touches."""
+    text = F.get(F.array(*[F.lit(t) for t, _ in ATTACKS]), (F.col("event_id") % len(ATTACKS)).cast("int"))
+    events = _events(spark, sf_dir).withColumns({"original_sql": text, "masked": F.col("event_id") % 2 == 0})
+    return risk.with_features(events, spark.createDataFrame(ASSETS, "key string, sensitivity string, enabled boolean"))
+
+
 def e_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of the built-in rules on a few texts of attacks."""
-    texts = ["SELECT * FROM crm.customer WHERE id = 1 OR 1=1", "SELECT a FROM t WHERE n = '' OR 'a'='a'", "SELECT a FROM t UNION ALL SELECT b FROM u", "SELECT 1; DROP TABLE t", "SELECT a FROM t WHERE n = 'x' -- y", "SELECT pg_sleep(5)", "SELECT table_name FROM information_schema.tables", "SELECT 0xDEADBEEF01", "SELECT phone, email FROM crm.customer"]
-    events = spark.createDataFrame([(str(i), "u", s) for i, s in enumerate(texts)], "event_id string, user string, original_sql string")
-    events = events.withColumns({"ts": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id").cast("int")), "outcome": F.lit("SUCCESS"), "masked": F.lit(False), "row_count": F.lit(10).cast("long")})
-    assets = spark.createDataFrame([("crm.public.customer.phone", "HIGH", True), ("crm.public.customer.email", "MEDIUM", True)], "key string, sensitivity string, enabled boolean")
-    found = risk.evaluate(events, assets)
+    """Hits of the rules that look at one event, over all events."""
+    found = risk.scored(_queries(spark, sf_dir).withColumn("hits", risk.stateless_hits(large=90)))
     return found.select("event_id", F.array_join(F.sort_array(F.transform("hits", lambda h: h["rule"])), ",").alias("rules"), "score", "top_severity")
 
 
+def e_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _queries(spark, sf_dir)
+    return found.select("event_id", "select_star", F.array_join("matched_tables", ",").alias("tables"), F.array_join(F.transform("sensitive_columns", lambda c: c["key"]), ",").alias("touched"))
+
+
+def r8_sensitive_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that bring the user's count of queries on sensitive columns in 24 hours to 2, 4, ..."""
+    return risk.burst(_queries(spark, sf_dir), risk.touches("MEDIUM"), 86_400, 2).select("event_id", F.col("burst_count").alias("n"))
+
+
+def e16_asset_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.asset_access(_queries(spark, sf_dir))
+
+
+def e17_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.search(_scored(spark, sf_dir), severity="high", rule="FAILED", keyword="7", minutes=60 * 24 * 20, now="2024-01-31 00:00:00").select("event_id")
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = risk.alerts(_typed_hits(_events(spark, sf_dir)), cooldown=86_400)
+    return found.withColumn("status", F.when(F.col("event_count") > 1, "OPEN").otherwise("ACK"))
+
+
+def e18_alert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.alert_search(_alerts(spark, sf_dir), "open", "high", "error", "3").select("rule", "user", F.col("alert_no").cast("long").alias("alert_no"), "event_count")
+
+
+def e18_alert_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = risk.alert_detail(_alerts(spark, sf_dir), _events(spark, sf_dir).drop("user"))
+    return found.select("rule", F.col("alert_user").alias("user"), F.col("alert_no").cast("long").alias("alert_no"), "event_id", "event_type", "row_count")
+
+
+def e19_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.rule_hits(_scored(spark, sf_dir))
+
+
+def e20_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.board(_events(spark, sf_dir), "2024-01-20 00:00:00", seconds=86_400 * 5, bursting=3)
+
+
+def e21_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom rule over the last 5000 events, as the reading of a dry run has it."""
+    found = risk.dry_run(_events(spark, sf_dir), [("outcome", "eq", "failure"), ("rowCount", "gt", "20")], 99_999)
+    return found.select("tested", "hits", F.array_join("samples", ",").alias("samples"))
+
+
+def e8_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.recent(_events(spark, sf_dir), 1000, "ts").select("event_id")
+
+
 _E = "(SELECT event_id, ts, user_id AS \"user\", event_type, CASE WHEN event_type = 'error' THEN 'FAILURE' ELSE 'SUCCESS' END AS outcome, floor(value)::BIGINT AS row_count FROM events)"
 _DAY = "OVER (PARTITION BY \"user\" ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)"
 _PROFILE = f"""(SELECT "user", count(*) AS events, round(count(*) / greatest(1, ceil((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0)), 2) AS rate_per_hour, count(row_count) AS samples,
@@ -204,10 +275,28 @@ EVENT_SQL = {
     "e14_overview": f"SELECT count(*) AS events, count(*) FILTER (WHERE score > 0) AS flagged, round(100.0 * count(*) FILTER (WHERE score > 0) / count(*), 1) AS hit_rate, round(avg(score), 1) AS avg_score FROM {_SCORED}",
     "l8_top_users": f'SELECT "user", count(*) AS n FROM {_E} GROUP BY 1 ORDER BY n DESC, "user" LIMIT 8',
     "j7_asof": f"SELECT l.event_id, r.event_id AS error_id FROM (SELECT * FROM {_E} WHERE event_type = 'purchase') l ASOF LEFT JOIN (SELECT * FROM {_E} WHERE event_type = 'error') r ON l.\"user\" = r.\"user\" AND l.ts >= r.ts",
+    "e_signatures": f"""WITH a(k, rules, score, top) AS (VALUES {{attacks}}),
+        h AS (SELECT event_id, a.rules AS own, CASE WHEN contains(a.rules, 'MASK_BYPASS') AND event_id % 2 = 0 THEN replace(replace(a.rules, 'MASK_BYPASS,', ''), 'MASK_BYPASS', '') ELSE a.rules END AS rules, hour(ts) < 8 OR hour(ts) >= 19 AS off, row_count >= 90 AS large FROM {_E} e JOIN a ON a.k = e.event_id % {len(ATTACKS)}),
+        l AS (SELECT event_id, list_sort(list_filter(list_concat(string_split(rules, ','), [CASE WHEN off THEN 'OFF_HOURS_ACCESS' ELSE '' END, CASE WHEN large THEN 'LARGE_RESULT' ELSE '' END]), lambda x: x <> '')) AS r FROM h),
+        w AS (SELECT event_id, r, list_transform(r, lambda x: CASE WHEN x IN ('SQLI_TAUTOLOGY', 'SQLI_UNION', 'SQLI_STACKED', 'SQLI_TIME_BASED') THEN 40 WHEN x IN ('SQLI_COMMENT', 'SQLI_META_PROBE', 'SQLI_OBFUSCATION', 'MASK_BYPASS') THEN 20 ELSE 10 END) AS s FROM l)
+        SELECT event_id, array_to_string(r, ',') AS rules, least(100, coalesce(list_sum(s), 0))::INT AS score, CASE coalesce(list_max(s), 0) WHEN 40 THEN 'CRITICAL' WHEN 20 THEN 'HIGH' WHEN 10 THEN 'MEDIUM' ELSE 'INFO' END AS top_severity FROM w""".replace("{attacks}", ", ".join(f"({i}, '{r}', 0, '')" for i, (_, r) in enumerate(ATTACKS))),
+    "e_features": f"SELECT event_id, event_id % 11 = 9 AS select_star, CASE event_id % 11 WHEN 0 THEN 't' WHEN 1 THEN 't' WHEN 2 THEN 't,u' WHEN 4 THEN 't' WHEN 6 THEN 'information_schema.tables,tables' WHEN 8 THEN 'crm.customer,customer' WHEN 9 THEN 'customer,orders' WHEN 10 THEN 'orders' ELSE '' END AS tables, CASE WHEN event_id % 11 IN (8, 9) THEN 'crm.public.customer.email,crm.public.customer.phone' ELSE '' END AS touched FROM {_E}",
+    "r8_sensitive_burst": f"SELECT event_id, n FROM (SELECT *, count(*) FILTER (WHERE event_id % 11 IN (8, 9)) {_DAY} AS n FROM {_E}) WHERE event_id % 11 IN (8, 9) AND n >= 2 AND n % 2 = 0",
+    "e16_asset_access": f"""SELECT k AS key, count(*) AS accesses, count(DISTINCT "user") AS users FROM {_E}, (VALUES ('crm.public.customer.email'), ('crm.public.customer.phone')) t(k) WHERE event_id % 11 IN (8, 9) GROUP BY k""",
+    "e17_search": f"""SELECT event_id FROM {_SCORED} WHERE outcome = 'FAILURE' AND contains("user"::VARCHAR, '7') AND ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAYS""",
+    "e18_alert_search": f"""SELECT rule, "user", alert_no, event_count FROM ({{alerts}}) WHERE event_count > 1 AND severity = 'HIGH' AND rule = 'error' AND (contains("user", '3') OR contains(rule, '3'))""",
+    "e18_alert_detail": f"""SELECT a.rule, a."user", a.alert_no::BIGINT AS alert_no, a.event_id, e.event_type, e.row_count FROM ({{members}}) a JOIN {_E} e ON e.event_id = a.event_id""",
+    "e19_rule_hits": f"SELECT 'FAILED' AS rule, count(*) AS hits, count(*) AS events FROM {_E} WHERE outcome = 'FAILURE' UNION ALL SELECT 'LARGE', count(*), count(*) FROM {_E} WHERE row_count >= 50",
+    "e20_board": f"""SELECT "user", count(*) AS events, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00') AS recent, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00') >= 3 AS bursting FROM {_E} WHERE "user" IS NOT NULL GROUP BY 1 ORDER BY events DESC, "user" LIMIT 20""",
+    "e21_dry_run": f"WITH t AS (SELECT * FROM {_E} ORDER BY ts DESC, event_id DESC LIMIT 5000), h AS (SELECT event_id FROM t WHERE outcome = 'FAILURE' AND row_count > 20) SELECT (SELECT count(*) FROM t) AS tested, (SELECT count(*) FROM h) AS hits, (SELECT string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FROM (SELECT event_id FROM h ORDER BY event_id LIMIT 5)) AS samples",
+    "e8_recent": f"SELECT event_id FROM {_E} ORDER BY ts DESC, event_id DESC LIMIT 1000",
     "k1_classification": f"SELECT * FROM (SELECT table_name, column_name, {_guess(1)} AS category, {_guess(2)} AS level FROM information_schema.columns WHERE table_name IN {GOVERNED}) WHERE category IS NOT NULL",
 }
 
+EVENT_SQL["e18_alert_search"] = EVENT_SQL["e18_alert_search"].format(alerts=EVENT_SQL["e12_alerts"])
+EVENT_SQL["e18_alert_detail"] = EVENT_SQL["e18_alert_detail"].format(members=EVENT_SQL["e12_alerts"].rpartition("SELECT rule")[0] + 'SELECT rule, "user", alert_no, event_id FROM a')
+
 QUERIES = {k: _secured(v[0], v[1]) for k, v in SECURED.items()} | {
-    f.__name__: f for f in (e7_sliding_count, r9_failure_burst, r10_off_hours, r14_first_touch, r15_baseline, e9_profiles, e12_alerts, e5_scores, e14_by_severity, e14_overview, l8_top_users, j7_asof, k1_classification, e_signatures)
+    f.__name__: f for f in (e7_sliding_count, r9_failure_burst, r10_off_hours, r14_first_touch, r15_baseline, e9_profiles, e12_alerts, e5_scores, e14_by_severity, e14_overview, l8_top_users, j7_asof, k1_classification, e_signatures, e_features, r8_sensitive_burst, e16_asset_access, e17_search, e18_alert_search, e18_alert_detail, e19_rule_hits, e20_board, e21_dry_run, e8_recent)
 }
 SQL = {k: v[2] for k, v in SECURED.items()} | EVENT_SQL
