@@ -7,7 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardstone.llm._store import fresh, without
+from wardstone.llm._skew import HOT, spread_join
+from wardstone.llm._store import cut, fresh, without
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -17,13 +18,14 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, hot: int = HOT) -> DataFrame:
     """``df`` with ``text_col`` less the lines that are shared, and n_lines and n_dropped (long).
 
     A line whose key has ``min_chars`` code points or more and is found in ``min_docs`` or more
     different ids is dropped from every document but that of the largest id. Only the hashes of such
-    lines are shuffled, one per document and key; counting is combined before each shuffle, so one
-    line in a third of all documents does not gather in one task. Keys are told apart by 128 bits.
+    lines are shuffled, one per document and key; counting is combined before each shuffle, and the
+    documents of a line in more than ``hot`` of them are dealt to several tasks, so one line in a third of
+    all documents does not gather in one. Keys are told apart by 128 bits.
 
     A null or empty text is one empty line and comes back as an empty text. Rows with equal ids count
     as one document and, if theirs is the largest id, all keep the line; a null id counts for no
@@ -36,8 +38,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     long_lines = F.filter(lines, lambda x: F.length(x) >= min_chars)
     keys = F.array_distinct(F.filter(F.transform(long_lines, line_key), lambda k: F.length(k) >= min_chars))
     pairs = base.select(F.col(id_col).alias(id_col), F.explode(F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias(h1), F.xxhash64(F.lit(1), k).alias(h2)))).alias(key)).select(id_col, f"{key}.*")
-    shared = pairs.groupBy(h1, h2).agg(F.count_distinct(id_col).alias(n), F.max(id_col).alias(keep)).where(F.col(n) >= min_docs).drop(n)
-    drops = pairs.join(shared, [h1, h2]).where(~F.col(id_col).eqNullSafe(F.col(keep))).groupBy(F.col(id_col).alias(key)).agg(F.collect_set(h1).alias(drop))
+    shared = cut(pairs.groupBy(h1, h2).agg(F.count_distinct(id_col).alias(n), F.max(id_col).alias(keep)).where(F.col(n) >= min_docs), "shared-lines")
+    drops = spread_join(pairs, shared.drop(n), [h1, h2], shared, n, id_col, hot=hot).where(~F.col(id_col).eqNullSafe(F.col(keep))).groupBy(F.col(id_col).alias(key)).agg(F.collect_set(h1).alias(drop))
     joined = base.join(drops, F.col(id_col).eqNullSafe(F.col(key)), "left")
     kept = F.filter(lines, lambda x: (F.length(x) < min_chars) | ~F.array_contains(drop, F.xxhash64(line_key(x))))
     kept = F.when(F.col(drop).isNull(), lines).otherwise(kept)
