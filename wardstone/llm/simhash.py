@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardstone.llm._arrow import slices
+from wardstone.llm._skew import HOT, spread_join
 from wardstone.llm._store import cut, fresh
 from wardstone.llm.components import components
 
@@ -194,22 +195,23 @@ def links(prints: DataFrame, fp: str, reach: int = REACH, tile: int = TILE) -> D
     return met.mapInArrow(_linker(reach), "u bigint, v bigint")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, reach: int = REACH) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, reach: int = REACH, hot: int = HOT) -> DataFrame:
     """``df``'s ids with fingerprint (16 hex digits) and component_id, the smallest id reachable over
     fingerprints within ``reach`` bits, the row's own id included.
 
-    Texts with equal fingerprints are linked without being paired: only different fingerprints meet.
+    Texts with equal fingerprints are linked without being paired: only different fingerprints meet. The rows
+    of a fingerprint with more than ``hot`` of them get their component in several tasks.
     Null and empty texts have fingerprint zero and are linked like any other; repeated rows give
     repeated rows; a null id is never a component's id unless the component has no other; an empty
     table gives an empty one.
     """
     hashed = cut(with_fingerprint(df, text_col, "fp_", size, keep=[id_col]), "fingerprints")
-    prints = hashed.groupBy("fp_").agg(F.min(id_col).alias("first_"))
+    prints = hashed.groupBy("fp_").agg(F.min(id_col).alias("first_"), F.count("*").alias("n_"))
     stars = components(links(prints.select("fp_"), "fp_", reach))
     labelled = prints.join(stars, prints["fp_"] == stars["node"], "left").select("fp_", "first_", F.coalesce("root", "fp_").alias("root"))
     roots = labelled.groupBy("root").agg(F.min("first_").alias("component_id"))
     final = labelled.join(roots, "root").select("fp_", "component_id")
-    return hashed.join(final, "fp_").select(id_col, F.lower(F.lpad(F.hex("fp_"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(hashed, final, ["fp_"], prints, "n_", id_col, hot=hot).select(id_col, F.lower(F.lpad(F.hex("fp_"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, reach: int = REACH) -> DataFrame:
