@@ -41,13 +41,15 @@ IMPLIED = {
     "caption": (_set("caption"), _set("table")), "rt": (_set("rt rp"), _set("ruby")), "rp": (_set("rt rp"), _set("ruby")), "button": (_set("button"), _set("table td th")), "a": (_set("a"), _set("table td th")),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S*)))?")
+#: A name, and after "=" a quoted or a bare value; elsewhere a quote is a character like others.
+_PAIR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?)?"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|{_PAIR})*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*)?))?""")
 _MAY_HIDE = re.compile("hidden|style", re.I)
 #: Where a style's colons and semicolons part nothing.
 _OPAQUE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^()]*\)", re.S)
 _START = re.compile(r"\s*(-?\d{1,9})")
-_SPAN = re.compile(r"\s*(\d{1,3})")
+_SPAN = re.compile(r"\s*(\d{1,9})")
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -59,21 +61,25 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _invisible(tag: str, attributes: str) -> bool:
-    """By the hidden attribute, style's display and visibility, or as a hidden input. What aria-hidden
+def _shows(tag: str, attributes: str) -> str:
+    """"none" for an element that is left out with all it holds, by the hidden attribute, its display, or as a
+    hidden input; else its own visibility, if it has one, which what it holds may change again. What aria-hidden
     keeps from screen readers is visible."""
     if not _MAY_HIDE.search(attributes):
-        return False
+        return ""
     found = _attributes(attributes)
     if "hidden" in found or (tag == "input" and found.get("type", "").strip().lower() == "hidden"):
-        return True
+        return "none"
     style: dict[str, tuple[bool, str]] = {}
     for part in _OPAQUE.sub("", found.get("style", "")).lower().split(";"):
         name, _, value = part.partition(":")
         value, important, _ = value.partition("!")
         if important or not style.get(name.strip(), (False,))[0]:
             style[name.strip()] = bool(important), value.strip()
-    return style.get("display", (0, ""))[1] == "none" or style.get("visibility", (0, ""))[1] == "hidden"
+    if style.get("display", (0, ""))[1] == "none":
+        return "none"
+    visibility = style.get("visibility", (0, ""))[1]
+    return {"hidden": "hidden", "collapse": "hidden", "visible": "visible", "initial": "visible"}.get(visibility, "")
 
 
 class _Flow:
@@ -120,6 +126,23 @@ class _Table:
     def __init__(self):
         self.rows: list[list[str]] = []
         self.caption: list[str] = []
+        self.down: dict[int, int] = {}  # rows that a cell above still covers, by column
+        self.taken: set[int] = set()
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.taken = {c for c, n in self.down.items() if n > 0}
+        self.down = {c: n - 1 for c, n in self.down.items() if n > 1}
+
+    def cell(self, text: str, wide: int, high: int) -> None:
+        if not self.rows:
+            self.row()
+        own = self.rows[-1]
+        while len(own) in self.taken:
+            own.append("")
+        if high > 1:
+            self.down |= {c: high - 1 for c in range(len(own), len(own) + wide)}
+        own += [text, *[""] * (wide - 1)]
 
     def lines(self) -> list[str]:
         """Columns padded to their widest cell, two blanks apart; rows without text are left out."""
@@ -133,16 +156,20 @@ class Renderer:
 
     def __init__(self):
         self.flows, self.tables = [_Flow()], []
+        self.veils: list[bool] = []  # of the open elements that have a visibility of their own
         self.hidden = self.pre = 0
         self.lists: list[list] = []
         self.marker = ""
-        self.held: list[list] = []
+        self.held: list[tuple] = []
 
-    def open(self, tag: str, attributes: str) -> bool:
-        """False if the element is invisible with all that it holds."""
-        if self.hidden or tag in HIDDEN or (attributes and _invisible(tag, attributes)):
+    def open(self, tag: str, attributes: str) -> int:
+        """0 if the element is left out with all that it holds, 2 if it has a visibility of its own, else 1."""
+        shows = _shows(tag, attributes) if attributes and not self.hidden and tag not in HIDDEN else ""
+        if self.hidden or tag in HIDDEN or shows == "none":
             self.hidden += tag not in VOID
-            return False
+            return 0
+        if shows and tag not in VOID:
+            self.veils.append(shows == "hidden")
         flow = self.flows[-1]
         if tag == "br":
             flow.end(keep=True) if flow.line else setattr(flow, "gap", True)
@@ -162,28 +189,30 @@ class Renderer:
         elif tag == "table":
             self.tables.append(_Table())
         elif tag == "tr" and self.tables:
-            self.tables[-1].rows.append([])
+            self.tables[-1].row()
         elif tag in ("td", "th", "caption") and self.tables:
+            found = _attributes(attributes) if attributes else {}
+            spans = [int(m[1]) if (m := _SPAN.match(found.get(name, ""))) else 1 for name in ("colspan", "rowspan")]
             self.flows.append(_Flow())
-            self.held.append([self.lists, _SPAN.match(_attributes(attributes).get("colspan", "")) if attributes else None])
+            self.held.append((self.lists, min(max(1, spans[0]), 1000), spans[1] or 65534))
             self.lists = []
-        return True
+        return 2 if shows and tag not in VOID else 1
 
-    def close(self, tag: str, shown: bool) -> None:
+    def close(self, tag: str, shown: int) -> None:
         if not shown:
             self.hidden -= 1
             return
+        if shown == 2:
+            self.veils.pop()
         if tag in ("td", "th", "caption") and self.tables and len(self.flows) > 1:
             flow = self.flows.pop()
             flow.end()
-            self.lists, span = self.held.pop()
+            self.lists, wide, high = self.held.pop()
             text = " ".join(x for x in map(str.strip, flow.lines) if x)
             if tag == "caption":
                 self.tables[-1].caption += [text] if text else []
             else:
-                if not self.tables[-1].rows:
-                    self.tables[-1].rows.append([])
-                self.tables[-1].rows[-1] += [text, *[""] * (min(int(span[1]), 100) - 1 if span else 0)]
+                self.tables[-1].cell(text, wide, high)
             return
         flow = self.flows[-1]
         if tag in BLOCK:
@@ -204,7 +233,7 @@ class Renderer:
                 flow.gap = True
 
     def text(self, text: str) -> None:
-        if self.hidden or not text:
+        if self.hidden or not text or (self.veils and self.veils[-1]):
             return
         flow = self.flows[-1]
         if self.tables and len(self.flows) <= len(self.tables) and not text.strip():
