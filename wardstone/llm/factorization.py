@@ -32,7 +32,9 @@ def _margin(w: np.ndarray, v: np.ndarray, ids: np.ndarray, x: np.ndarray, first:
 
 
 def fit(ids: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and factors by AdaGrad on the logistic loss."""
+    """Weights and factors by AdaGrad on the logistic loss; all zero without rows."""
+    if not len(y):
+        return np.zeros(WIDTH), np.zeros((WIDTH, FACTORS))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(WIDTH), rng.normal(0, 0.05, (WIDTH, FACTORS))
     gw, gv = np.full(WIDTH, 1e-2), np.full((WIDTH, FACTORS), 1e-2)

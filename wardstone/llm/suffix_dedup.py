@@ -329,14 +329,15 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     otherwise (null, repeated) rows are numbered in a table written first. Columns with an added name are
     replaced, others pass.
     """
-    base = without(df, "kept", "n_bytes", "n_removed", "n_spans", "_doc", "_runs")
+    base = without(df, "kept", "n_bytes", "n_removed", "n_spans")
+    doc, runs_of = fresh(base, "doc", "runs")
     keyed, key = base, id_col
     all_, unlike = base.agg(F.count("*"), F.count_distinct(id_col)).first()
     if all_ != unlike:
         (key,) = fresh(base, "row_number")
         keyed = cut(base.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    runs = covered_runs(keyed, key, text_col, span).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("a", "b")).alias("_runs"))
-    joined = keyed.join(runs, F.col(key) == F.col("_doc"), "left").drop("_doc")
+    runs = covered_runs(keyed, key, text_col, span).groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("a", "b")).alias(runs_of))
+    joined = keyed.join(runs, F.col(key) == F.col(doc), "left").drop(doc)
     schema = base.select("*", F.lit(b"").alias("kept"), *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")]).schema
 
     names = base.columns
@@ -345,7 +346,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for whole in batches:
             for rows, data, offsets in slices(whole, text_col):
                 kept, n, removed, spans = [], [], [], []
-                for runs, a, b in zip(rows.column("_runs").to_pylist(), offsets.tolist(), offsets[1:].tolist(), strict=False):
+                for runs, a, b in zip(rows.column(runs_of).to_pylist(), offsets.tolist(), offsets[1:].tolist(), strict=False):
                     text, out, at = data[a:b].tobytes(), [], 0
                     parts = 0
                     for r in sorted((r["a"], r["b"]) for r in runs or ()):

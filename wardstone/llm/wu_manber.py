@@ -112,7 +112,7 @@ def window_holders(items: Iterable[tuple[object, bytes]], size: int) -> dict[byt
     for item, text in items:
         own = item_words(text)
         for i in range(max(1, len(own) - size + 1) if own else 0):
-            holders.setdefault(b" " + b" ".join(own[i : i + size]) + b" ", set()).add(str(item))
+            holders.setdefault(b" " + b" ".join(own[i : i + size]) + b" ", set()).add("" if item is None else str(item))
     return {k: sorted(v) for k, v in sorted(holders.items())}
 
 
@@ -142,7 +142,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     texts. No document is shuffled. Matches never cross rows.
 
     Null and empty texts have no words and are clean. Items without words (or null) have no windows;
-    items with equal ids count once. Rows are judged one by one, so repeated rows give repeated rows;
+    items with equal ids count once, and all items with a null id as one, named by an empty string. Rows are judged one by one, so repeated rows give repeated rows;
     empty tables give empty or clean results. Columns with an added name are replaced, others pass.
     """
     out = ["n_words", "n_hit", "n_items", "items", "contaminated"]
@@ -204,5 +204,5 @@ def brute_force(text: str | None, items: list[tuple[object, str | None]], window
             for k in range(len(own) - len(part) + 1):
                 if own[k : k + len(part)] == part:
                     hit.update(range(k, k + len(part)))
-                    found.add(str(item))
+                    found.add("" if item is None else str(item))
     return len(own), len(hit), sorted(found)
