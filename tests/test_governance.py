@@ -278,3 +278,18 @@ def test_structures(spark, tmp_path):
         function_query("trino")
     rows = spark.createDataFrame([("s", "f", "f_1", 2, "int"), ("s", "f", "f_1", 1, "text"), ("s", "g", "g_1", None, None)], "routine_schema string, routine_name string, specific_name string, position int, data_type string")
     assert {(r.name, tuple(r.arguments)) for r in signatures(rows).collect()} == {("f", ("text", "int")), ("g", ())}
+
+
+def test_stored_policies_and_grants(spark, tmp_path):
+    from wardstone.sources.store import Store
+
+    store, text = Store(spark, str(tmp_path / "state")), "policies: [{name: a, resources: [{table: t, column: c}], dataMaskItems: [{groups: ['*'], udf: %s}]}]"
+    assert store.policies("one") == [] and store.grants("one") == set()
+    assert store.import_policies("one", text % "mask_text")["created"] == ["a"]
+    assert store.import_policies("one", text % "mask_text")["unchanged"] == ["a"]
+    assert store.import_policies("one", text % "mask_name")["updated"] == ["a"]
+    assert store.policies("one") == load_policies(text % "mask_name") and store.policies("one", 1) == load_policies(text % "mask_text")
+    with pytest.raises(GovernanceError):
+        store.policies("one", 3)
+    own = {Grant("ann", "c.s.t", "SELECT")}
+    assert store.save_grants("one", own) == 1 and store.grants("one") == own and store.grants("two") == set()

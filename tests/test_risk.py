@@ -162,3 +162,20 @@ def test_profile_cache(spark):
     for now[0] in (0.0, 4.9, 5.0, 9.0, 11.0):
         counts.append(cache.get().count())
     assert counts == [1, 1, 2, 2, 3] and loads == [0.0, 5.0, 11.0]
+
+
+def test_demo_stories_meet_their_rules(spark):
+    from wardstone.sources import demo
+
+    found = demo.events(spark)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, demo.events(spark).collect()))
+    out = risk.evaluate(found, assets(spark))
+    hits = {(r.user, r.rule) for r in out.select("user", F.explode("hits").alias("h")).select("user", "h.rule").collect()}
+    assert {("mallory", "FAILURE_BURST"), ("eve", "SQLI_UNION"), ("eve", "SQLI_STACKED"), ("oscar", "SENSITIVE_BURST"), ("oscar", "OFF_HOURS_ACCESS"), ("oscar", "LARGE_RESULT"), ("oscar", "MASK_BYPASS"), ("newt", "NEW_SUBJECT_SENSITIVE")} <= hits
+    assert not any(u in ("ann", "bo", "cy") and r.startswith("SQLI") for u, r in hits)
+
+
+def test_custom_rules_by_address(spark):
+    e = events(spark, [(k, "u%d" % k, "FAILURE", "", True, 0) for k in range(6)]).withColumn("source_ip", F.when(F.col("event_id") < 5, "10.0.0.1").otherwise("10.0.0.2"))
+    assert sorted(int(r.event_id) for r in risk.custom(e, [("outcome", "eq", "failure")], 60, 2, "ip").collect()) == [1, 3]
+    assert risk.dry_run(e, [("ip", "eq", "10.0.0.2")]).first().asDict() == {"tested": 6, "hits": 1, "samples": ["5"]}

@@ -9,9 +9,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstone.errors import Code, GovernanceError
@@ -225,9 +226,7 @@ class Governance:
             raise GovernanceError(Code.REWRITE_ERROR, "two columns of one name in a masked result")
         frame = df
         if masks:
-            unique = [f"c{i}" for i in range(len(names))]
-            inner = df.toDF(*unique)
-            frame = inner.select(*[(MASKS[masks[i].udf](F.col(c).cast("string"), *masks[i].arguments) if i in masks else F.col(c)).alias(n) for i, (c, n) in enumerate(zip(unique, names, strict=True))])
+            frame = df.select(*[_masked(n, masks[i].udf, masks[i].arguments) if i in masks else _masked(n) for i, n in enumerate(names)])
         filtered = [t[2] for v, t in tables.items() if self.index.filters(subject, t) and re.search(rf"(?i)(?<!\w){re.escape(v)}(?!\w)", text)]
         return StatementPlan(ordinal, sql, kind, frame, {names[i]: m.udf for i, m in masks.items()}, list(dict.fromkeys(filtered)), origins, parts, inherited)
 
@@ -296,10 +295,21 @@ class Governance:
         self.invalidate()
 
 
+@lru_cache(maxsize=4096)
+def _masked(name: str, udf: str | None = None, arguments: tuple = ()) -> Column:
+    """A result column under its own name, masked or as it is; columns are not tied to a plan or session."""
+    own = F.col("`" + name.replace("`", "``") + "`")
+    return (MASKS[udf](own.cast("string"), *arguments) if udf else own).alias(name)
+
+
+@lru_cache(maxsize=4)
+def _commands(jvm) -> list:
+    return [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{c}") for c in ("Command", "ParsedStatement", "InsertIntoDir")]
+
+
 def _refuse_writes(jvm, plan) -> None:
     """Commands can stand only at the top, below WITH, or in a multiple insert."""
-    bad = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{c}") for c in ("Command", "ParsedStatement", "InsertIntoDir")]
-    todo = [plan]
+    bad, todo = _commands(jvm), [plan]
     while todo:
         node = todo.pop()
         if any(c.isInstance(node) for c in bad):
