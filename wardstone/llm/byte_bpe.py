@@ -19,6 +19,7 @@ import base64
 import heapq
 import json
 from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from wardstone.llm._columns import bound
 from wardstone.llm._store import cut, drop_cut, fresh, without
 
 #: Most words whose ids are sent to the tasks, and most bytes that they take.
-FREQUENT, FREQUENT_BYTES = 1 << 20, 16 << 20
+FREQUENT, FREQUENT_BYTES = 3 << 18, 12 << 20
 #: Longest word, in bytes, that is folded.
 LONG = 255
 #: Words looked up at once in a task.
@@ -40,9 +41,18 @@ BITS = 20
 NONE = (1 << BITS) - 1
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
+class Ranks(dict):
+    """Ranks of tokens, with their codec made once."""
+
+    @cached_property
+    def codec(self) -> Codec:
+        return Codec(self)
+
+
+@lru_cache(maxsize=2)
+def read_ranks(path: str) -> Ranks:
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        return Ranks({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
 
 
 def java_pattern(pattern: str) -> str:
@@ -54,26 +64,28 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def _rows(pairs: dict[tuple[int, int], int], size: int) -> tuple[list[int], list[int | None]]:
-    """A sparse table in one array: the pair (a, b) stands at place offset of a, plus b, as a and the rank in
-    one number. Rows are laid over each other, the fullest first, wherever their entries fall on free places."""
+def _rows(pairs: dict[tuple[int, int], int], size: int) -> tuple[list[int], list[int]]:
+    """A sparse table in one array: the pair (a, b) stands at place offset of a, plus b, as a + 1 and the rank in
+    one number; free places hold 0, which is short in the plan's text. Rows are laid over each other, the fullest
+    first, wherever their entries fall on free places; the array grows while a row finds none."""
     rows: dict[int, list[int]] = {}
     for a, b in pairs:
         rows.setdefault(a, []).append(b)
     rng, offsets, room = np.random.default_rng(0), [0] * size, 4 * len(pairs) + 64
     taken = np.zeros(room + size, bool)
     for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
-        own = np.array(row)
-        while True:
+        own, free, rounds = np.array(row), (), 0
+        while not len(free):
+            if (rounds := rounds + 1) % 500 == 0:
+                taken = np.concatenate([taken, np.zeros(room // 4, bool)])
+                room += room // 4
             tries = rng.integers(0, room, 1 + 512 // len(own))
             free = np.flatnonzero(~taken[tries[:, None] + own].any(1))
-            if len(free):
-                break
         offsets[a] = int(tries[free[0]])
         taken[offsets[a] + own] = True
-    table: list[int | None] = [None] * len(taken)
+    table = [0] * len(taken)
     for (a, b), rank in pairs.items():
-        table[offsets[a] + b] = a << BITS | rank
+        table[offsets[a] + b] = a + 1 << BITS | rank
     return offsets, table
 
 
@@ -96,7 +108,7 @@ class Codec:
     def _fold(self, table: Column, offsets: Column, first: Column, word: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
             """Of two ids; an entry of another row differs in its upper bits, so it comes out as NONE or more."""
-            return F.least(F.get(table, F.get(offsets, a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), BITS)), F.lit(NONE))
+            return F.least(F.get(table, F.get(offsets, a) + b).bitwiseXOR(F.shiftleft(a.cast("long") + 1, BITS)), F.lit(NONE))
 
         def entry(rank: Column, place: Column, piece: Column) -> Column:
             return F.shiftleft(F.shiftleft(rank, BITS).bitwiseOR(place), BITS).bitwiseOR(piece)
@@ -159,7 +171,7 @@ def byte_bpe(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     base = without(df, "ids", "packed", "decoded")
     keep = [F.col(f"`{c}`") for c in base.columns]
     found, folded = fresh(base, "_found", "_folded")
-    codec = Codec(ranks)
+    codec = ranks.codec if isinstance(ranks, Ranks) else Codec(ranks)
     split = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     sent = df.sparkSession.sparkContext.broadcast({"tokens": codec.tokens, "parts": _frequent_words(base.select(F.explode(split).alias("word")), codec, frequent)})
     look_up = F.arrow_udf(_look_up(sent), "segments array<array<int>>, rare array<string>")
