@@ -76,7 +76,7 @@ def _rows(pairs: dict[tuple[int, int], int], size: int) -> tuple[list[int], list
     for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
         own, free, rounds = np.array(row), (), 0
         while not len(free):
-            if (rounds := rounds + 1) % 500 == 0:
+            if (rounds := rounds + 1) % 20_000 == 0:
                 taken = np.concatenate([taken, np.zeros(room // 4, bool)])
                 room += room // 4
             tries = rng.integers(0, room, 1 + 512 // len(own))
