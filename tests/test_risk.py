@@ -139,6 +139,12 @@ def test_nulls_meet_nothing(spark):
     right = spark.createDataFrame([(None, 1, "x"), ("a", None, "y")], "k string, u int, v string")
     assert all(r.v is None for r in relational.asof_join(left, right, "k", "t", "u", ["v"]).collect())
     assert relational.asof_join(left, right, "k", "t", "u", ["v"], inner=True).count() == 0
+    rng = __import__("random").Random(3)
+    many, others = [("hot" if rng.random() < 0.7 else "b", rng.randrange(1000)) for _ in range(80)], [("hot", rng.randrange(1000), str(k)) for k in range(9)]
+    l, r = spark.createDataFrame(many, "k string, t int"), spark.createDataFrame(others, "k string, u int, v string")
+    want = sorted((k, t, max(((u, v) for x, u, v in others if x == k and u <= t), default=(None, None))[1]) for k, t in many if k == "hot")
+    for stretch in (None, 7, 100):
+        assert sorted((x.k, x.t, x.v) for x in relational.asof_join(l, r, "k", "t", "u", ["v"], stretch=stretch).where("k = 'hot'").collect()) == want
     one = spark.createDataFrame([("a", 5), ("b", 1), ("b", 2), ("b", None)], "k string, v int")
     assert sorted(((r.k, r.v, r.s) for r in one.withColumn("s", relational.sum_excluding_current(F.col("v"), ["k"])).collect()), key=repr) == sorted([("a", 5, None), ("b", 1, 2), ("b", 2, 1), ("b", None, 3)], key=repr)
 

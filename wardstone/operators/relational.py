@@ -34,22 +34,34 @@ def capped(df: DataFrame, asked: int | None, default: int = 1000, hard: int = 10
     return rows[:n], len(rows) > n
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], inner: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], inner: bool = False, stretch: float | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before it.
 
-    Both sides go through one shuffle on the key and one sort; nothing is paired. Of right rows at one
-    time the largest values win. Null keys and null times meet nothing."""
+    Both sides go through one shuffle and one sort by key and stretch of time; nothing is paired. Only one row
+    for each stretch of a key is walked by key, to carry the last right row into later stretches, so a key
+    with a large share of all rows is not sorted in one task. A stretch is a day for timestamps; numbers have
+    one of ``stretch``, or none if that is not given. Of right rows at one time the largest values win. Null
+    keys and null times meet nothing."""
     right = right.where(F.col(key).isNotNull() & F.col(right_at).isNotNull())
-    right_struct = F.struct(F.col(right_at).alias(right_at), *[F.col(v) for v in values])
-    both = left.select(F.col(key), F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(None).cast(right.select(right_struct).schema[0].dataType).alias("_right")).unionByName(
-        right.select(F.col(key), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*[F.col(c) for c in left.columns])).schema[0].dataType).alias("_left"), right_struct.alias("_right"))
+    timed = dict(left.dtypes)[left_at].startswith("timestamp")
+    place = F.unix_micros(F.col("_at").cast("timestamp")) / 86_400_000_000 if timed else F.col("_at") / stretch if stretch else F.lit(0)
+    own = F.struct(F.col(right_at).alias(right_at), *[F.col(v) for v in values])
+    rows = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    both = left.select(F.col(key).alias("_key"), F.col(left_at).alias("_at"), F.lit(1).alias("_side"), rows.alias("_left"), F.lit(None).cast(right.select(own).schema[0].dataType).alias("_right")).unionByName(
+        right.select(F.col(key).alias("_key"), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(rows).schema[0].dataType).alias("_left"), own.alias("_right"))
     )
-    w = Window.partitionBy(key).orderBy("_at", "_side", *[F.col("_right")[v] for v in values]).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_stretch", F.floor(place).cast("long"))
+    w = Window.partitionBy("_key", "_stretch").orderBy("_at", "_side", *[F.col("_right")[v] for v in values]).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    if timed or stretch:
+        last = both.groupBy("_key", "_stretch").agg(F.max("_right").alias("_carried"))
+        earlier = Window.partitionBy("_key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        last = last.withColumn("_carried", F.last("_carried", ignorenulls=True).over(earlier)).where("_carried is not null")
+        found = found.join(last, ["_key", "_stretch"], "left").withColumn("_right", F.coalesce("_right", "_carried"))
+    found = found.withColumn("_right", F.when(F.col("_key").isNotNull() & F.col("_at").isNotNull(), F.col("_right")))
     if inner:
-        found = found.where(F.col("_right").isNotNull() & F.col(key).isNotNull() & F.col("_at").isNotNull())
-    meets = F.col(key).isNotNull() & F.col("_at").isNotNull()
-    return found.select("_left.*", *[F.when(meets, F.col("_right")[c]).alias(c) for c in (right_at, *values)])
+        found = found.where("_right is not null")
+    return found.select("_left.*", *[F.col("_right")[c].alias(c) for c in (right_at, *values)])
 
 
 def sum_excluding_current(value: Column, partition: list[str]) -> Column:

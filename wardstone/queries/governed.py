@@ -225,6 +225,14 @@ def e18_alert_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rule", F.col("alert_user").alias("user"), F.col("alert_no").cast("long").alias("alert_no"), "event_id", "event_type", "row_count")
 
 
+def e14_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.alert_overview(_alerts(spark, sf_dir), "2024-01-10 00:00:00")
+
+
+def k3_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.classification_overview(k1_classification(spark, sf_dir))
+
+
 def e19_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.rule_hits(_scored(spark, sf_dir))
 
@@ -286,6 +294,7 @@ EVENT_SQL = {
     "e17_search": f"""SELECT event_id FROM {_SCORED} WHERE outcome = 'FAILURE' AND contains("user"::VARCHAR, '7') AND ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAYS""",
     "e18_alert_search": f"""SELECT rule, "user", alert_no, event_count FROM ({{alerts}}) WHERE event_count > 1 AND severity = 'HIGH' AND rule = 'error' AND (contains("user", '3') OR contains(rule, '3'))""",
     "e18_alert_detail": f"""SELECT a.rule, a."user", a.alert_no::BIGINT AS alert_no, a.event_id, e.event_type, e.row_count FROM ({{members}}) a JOIN {_E} e ON e.event_id = a.event_id""",
+    "e14_alerts": "SELECT count(*) FILTER (WHERE event_count > 1) AS open, count(*) FILTER (WHERE event_count = 1) AS ack, 0::BIGINT AS resolved FROM ({alerts})",
     "e19_rule_hits": f"SELECT 'FAILED' AS rule, count(*) AS hits, count(*) AS events FROM {_E} WHERE outcome = 'FAILURE' UNION ALL SELECT 'LARGE', count(*), count(*) FROM {_E} WHERE row_count >= 50",
     "e20_board": f"""SELECT "user", count(*) AS events, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00') AS recent, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00') >= 3 AS bursting FROM {_E} WHERE "user" IS NOT NULL GROUP BY 1 ORDER BY events DESC, "user" LIMIT 20""",
     "e21_dry_run": f"WITH t AS (SELECT * FROM {_E} ORDER BY ts DESC, event_id DESC LIMIT 5000), h AS (SELECT event_id FROM t WHERE outcome = 'FAILURE' AND row_count > 20) SELECT (SELECT count(*) FROM t) AS tested, (SELECT count(*) FROM h) AS hits, (SELECT string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FROM (SELECT event_id FROM h ORDER BY event_id LIMIT 5)) AS samples",
@@ -293,10 +302,12 @@ EVENT_SQL = {
     "k1_classification": f"SELECT * FROM (SELECT table_name, column_name, {_guess(1)} AS category, {_guess(2)} AS level FROM information_schema.columns WHERE table_name IN {GOVERNED}) WHERE category IS NOT NULL",
 }
 
+EVENT_SQL["e14_alerts"] = EVENT_SQL["e14_alerts"].format(alerts=EVENT_SQL["e12_alerts"])
+EVENT_SQL["k3_overview"] = f"SELECT table_name, count(*) AS classified, count(*) FILTER (WHERE level = 'LOW') AS low, count(*) FILTER (WHERE level = 'MEDIUM') AS medium, count(*) FILTER (WHERE level = 'HIGH') AS high FROM ({EVENT_SQL['k1_classification']}) GROUP BY ROLLUP (table_name)"
 EVENT_SQL["e18_alert_search"] = EVENT_SQL["e18_alert_search"].format(alerts=EVENT_SQL["e12_alerts"])
 EVENT_SQL["e18_alert_detail"] = EVENT_SQL["e18_alert_detail"].format(members=EVENT_SQL["e12_alerts"].rpartition("SELECT rule")[0] + 'SELECT rule, "user", alert_no, event_id FROM a')
 
 QUERIES = {k: _secured(v[0], v[1]) for k, v in SECURED.items()} | {
-    f.__name__: f for f in (e7_sliding_count, r9_failure_burst, r10_off_hours, r14_first_touch, r15_baseline, e9_profiles, e12_alerts, e5_scores, e14_by_severity, e14_overview, l8_top_users, j7_asof, k1_classification, e_signatures, e_features, r8_sensitive_burst, e16_asset_access, e17_search, e18_alert_search, e18_alert_detail, e19_rule_hits, e20_board, e21_dry_run, e8_recent)
+    f.__name__: f for f in (e7_sliding_count, r9_failure_burst, r10_off_hours, r14_first_touch, r15_baseline, e9_profiles, e12_alerts, e5_scores, e14_by_severity, e14_overview, l8_top_users, j7_asof, k1_classification, e_signatures, e_features, r8_sensitive_burst, e16_asset_access, e17_search, e18_alert_search, e18_alert_detail, e14_alerts, k3_overview, e19_rule_hits, e20_board, e21_dry_run, e8_recent)
 }
 SQL = {k: v[2] for k, v in SECURED.items()} | EVENT_SQL

@@ -80,13 +80,6 @@ def import_structure(text: str, dialect: str = "sparksql") -> dict[tuple[str, st
     return load_metadata(text, dialect)
 
 
-def check_frame(df: DataFrame, declared: T.StructType) -> list[str]:
-    """Where a frame differs from its declaration."""
-    have = {f.name.lower(): f.dataType for f in df.schema}
-    plain = lambda t: T.StringType() if isinstance(t, (T.CharType, T.VarcharType)) else t
-    return [f"{f.name}: {'missing' if f.name not in have else have[f.name].simpleString()}" for f in declared if f.name not in have or plain(have[f.name]) != plain(f.dataType)]
-
-
 def collect(spark: SparkSession, schema: str | None = None) -> DataFrame:
     """(table_name, table_kind, column_name, data_type, ordinal) of the session's catalog."""
     rows = []
