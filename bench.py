@@ -49,7 +49,7 @@ def main() -> None:
     queries: dict[str, float] = {}
     views = surface.views(spark, SF_DIR)
     both = governed.governance(spark, SF_DIR)
-    parts = {kind: Governance(spark, both.tables, [p for p in load_policies(governed.POLICIES) if p.kind == kind]) for kind in ("filter", "mask")}
+    parts = {kind: Governance(spark, {t[2]: df for t, df in both.tables.items()}, [p for p in load_policies(governed.POLICIES) if p.kind == kind]) for kind in ("filter", "mask")}
     for name, sql in SECURED.items():
         queries[f"{name}_raw"] = timed(lambda: full(views.sql(sql)))
         for mode, g in {**parts, "both": both}.items():

@@ -12,13 +12,21 @@ from wardstone.operators import relational
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+_SESSIONS: dict[tuple[str, str], SparkSession] = {}
+
+
 def views(spark: SparkSession, sf_dir: str) -> SparkSession:
-    """A session of its own, with the tables as views."""
-    own = spark.newSession()
-    own.conf.set("spark.sql.session.timeZone", "UTC")
-    for t in TABLES:
-        own.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return own
+    """A session with the tables as views, one for each application and folder; the last few are kept."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SESSIONS:
+        own = spark.newSession()
+        own.conf.set("spark.sql.session.timeZone", "UTC")
+        for t in TABLES:
+            own.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        while len(_SESSIONS) >= 4:
+            _SESSIONS.pop(next(iter(_SESSIONS)))
+        _SESSIONS[key] = own
+    return _SESSIONS[key]
 
 
 #: name: Spark SQL, or (Spark SQL, DuckDB SQL) where they differ.
