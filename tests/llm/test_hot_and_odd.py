@@ -72,6 +72,26 @@ def test_byte_bpe_either_way(spark, coding, monkeypatch, frequent):
         assert (list(r.ids), bytes(r.packed), bytes(r.decoded), r.folded, r._found) == (ids, struct.pack(f"<{len(ids)}I", *ids), (r.text or "").encode(), 7, "f")
 
 
+def test_byte_bpe_keeps_no_rank_map_in_plan_texts(spark, coding):
+    """Spark keeps the texts of each plan that ran; the rank map stands in none, and no row carries it."""
+    ranks, pattern, _ = coding
+    df = spark.createDataFrame([(k, "vrrbl qzxqzx vrrbl w%d" % (k % 7)) for k in range(20)], "doc_id long, text string")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    out = byte_bpe.byte_bpe(df, ranks, pattern).select("doc_id", "ids")
+    assert out.count() == len(out.collect()) == 20
+    bus.waitUntilEmpty(30_000)
+    kept = store.executionsList(int(before), int(store.executionsCount() - before))
+    sizes = []
+    for k in range(kept.size()):
+        nodes = store.planGraph(kept.apply(k).executionId()).allNodes()
+        sizes += [len(kept.apply(k).physicalPlanDescription()), *[len(nodes.apply(i).desc()) for i in range(nodes.size())]]
+    assert len(sizes) > 4 and max(sizes) < 100_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" in plan and not any("AS _arrays" in line for line in plan.split("\n"))
+
+
 def test_rules_judge_long_lines_as_short_ones(spark):
     rng = random.Random(5)
     prose = " ".join("w%d" % rng.randrange(400) + ("." if k % 9 == 0 else "") for k in range(20_000))

@@ -1,7 +1,9 @@
 """Byte-level BPE by Spark higher-order functions.
 
-The rank map is a literal in the plan: a sparse table from the ids of two neighbouring pieces to the rank of
-what they make, which is also its id. A word is an array with one number for each piece, made of the rank of the pair
+The rank map is a constant in the plan: a sparse table from the ids of two neighbouring pieces to the rank of
+what they make, which is also its id. It enters by scalar subqueries over a local row, not spelled out as a literal:
+Spark keeps several texts of each plan that ran on the driver, and a literal of two million characters would be
+in all of them, run after run. A word is an array with one number for each piece, made of the rank of the pair
 that begins there, the piece's place, and its id. The least number is thus the leftmost pair of lowest rank;
 each step of the fold merges it and looks up the two pairs that are new.
 
@@ -66,7 +68,7 @@ def _literal(values: list, kind: str) -> Column:
 
 def _rows(pairs: dict[tuple[int, int], int], size: int) -> tuple[list[int], list[int]]:
     """A sparse table in one array: the pair (a, b) stands at place offset of a, plus b, as a + 1 and the rank in
-    one number; free places hold 0, which is short in the plan's text. Rows are laid over each other, the fullest
+    one number; free places hold 0. Rows are laid over each other, the fullest
     first, wherever their entries fall on free places; the array grows while a row finds none."""
     rows: dict[int, list[int]] = {}
     for a, b in pairs:
@@ -99,11 +101,19 @@ class Codec:
         #: Stands before and after a word; pairs with it have no rank.
         self.edge = len(ranks)
         offsets, table = _rows(pairs, len(ranks) + 1)
-        self.offsets, self.table, self.first = _literal(offsets, "int"), _literal(table, "bigint"), _literal([ranks[bytes([b])] for b in range(256)], "int")
+        row = {"table": np.array(table, np.int64), "offsets": np.array(offsets, np.int32), "first": np.array([ranks[bytes([b])] for b in range(256)], np.int32)}
+        #: One row with the arrays that a fold reads.
+        self.row = pa.table({k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for k, v in row.items()})
 
-    def encode_all(self, words: Column) -> Column:
-        """Ids of each of an array of words, by merging alone."""
-        return bound(self.table, lambda table: bound(self.offsets, lambda offsets: bound(self.first, lambda first: F.transform(words, lambda w: self._fold(table, offsets, first, w)))))
+    def encode_all(self, df: DataFrame, words: Column, out: str) -> DataFrame:
+        """``df`` with ``out``: ids of each of an array of words, by merging alone.
+
+        Subqueries can't stand in a lambda or beside one, so a column of its own takes them in; as it is used once, Spark
+        puts them back where it is used, and no row carries the arrays."""
+        row, (arrays,) = df.sparkSession.createDataFrame(self.row), fresh(df, "_arrays")
+        keep = [F.col(f"`{c}`") for c in df.columns]
+        folded = bound(F.col(arrays), lambda r: bound(r["table"], lambda table: bound(r["offsets"], lambda offsets: bound(r["first"], lambda first: F.transform(words, lambda w: self._fold(table, offsets, first, w))))))
+        return df.select(*keep, F.struct(*[row.select(k).scalar().alias(k) for k in row.columns]).alias(arrays)).select(*keep, folded.alias(out))
 
     def _fold(self, table: Column, offsets: Column, first: Column, word: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
@@ -170,15 +180,16 @@ def byte_bpe(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     """
     base = without(df, "ids", "packed", "decoded")
     keep = [F.col(f"`{c}`") for c in base.columns]
-    found, folded = fresh(base, "_found", "_folded")
+    found, segments, rare, folded = fresh(base, "_found", "_segments", "_rare", "_folded")
     codec = ranks.codec if isinstance(ranks, Ranks) else Codec(ranks)
     split = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     sent = df.sparkSession.sparkContext.broadcast({"tokens": codec.tokens, "parts": _frequent_words(base.select(F.explode(split).alias("word")), codec, frequent)})
     look_up = F.arrow_udf(_look_up(sent), "segments array<array<int>>, rare array<string>")
     step = base.select(*keep, look_up(split).alias(found))
-    step = step.withColumn(folded, codec.encode_all(F.col(found)["rare"]))
+    step = step.select(*keep, F.col(found)["segments"].alias(segments), F.col(found)["rare"].alias(rare))
+    step = codec.encode_all(step, F.col(rare), folded)
     none = F.array().cast("array<int>")
-    ids = bound(F.col(folded), lambda own: F.flatten(F.transform(F.col(found)["segments"], lambda s, i: F.concat(s, F.coalesce(F.get(own, i), none)))))
+    ids = bound(F.col(folded), lambda own: F.flatten(F.transform(F.col(segments), lambda s, i: F.concat(s, F.coalesce(F.get(own, i), none)))))
     step = step.select(*keep, ids.alias("ids"))
     return step.select(*keep, "ids", codec.pack(F.col("ids")).alias("packed"), codec.decode(F.col("ids")).alias("decoded"))
 
@@ -194,7 +205,8 @@ def _frequent_words(words: DataFrame, codec: Codec, most: int) -> list[tuple]:
         least, number, total = n, number + k, total + b
     out = []
     if number:
-        known = counts.where(F.col("n") >= least).select("word").repartition(32).select("word", F.get(codec.encode_all(F.array("word")), 0).alias("ids"))
+        known = counts.where(F.col("n") >= least).select("word").repartition(32)
+        known = codec.encode_all(known, F.array("word"), "ids").select("word", F.get("ids", 0).alias("ids"))
         out = [tuple(r) for r in known.mapInArrow(_pack, "words binary, sizes binary, ids binary, id_sizes binary").collect()]
     drop_cut(counts)
     return out
